@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,13 @@ OPEN_BINS = 1024
 #: Open bins that one task of a later round takes.
 BINS_PER_TASK = 20_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _BLANKS = re.compile("[\t\n\x0b\x0c\r ]+")
+#: Blank to Python, but not to the vocabulary.
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case is one letter, then marks that no contraction of the vocabulary starts with.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+_WORD_END = "</w>"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,24 +50,62 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts.  ASCII blanks always end a token of this vocabulary, so words are encoded once and remembered."""
+    """Ids of texts.  ASCII blanks always end a token of this vocabulary, so words are encoded once and remembered.
+
+    A word of plain letters with closing marks is two groups of tokens, each encoded alone, so ``Word,`` and
+    ``word`` share what is remembered.  New letter runs are encoded together, and their ids told apart by
+    the tokens that end a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        found = _BLANKS.split(text)
-        known = self.known
-        missing = [w for w in set(found) if w not in known]
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(found))
-            for word in missing:
-                known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, found)) + b"\0\0\0\0", "<u4")
+        self.tokenizer, self.words, self.runs = Tokenizer.from_file(path), {}, {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(_WORD_END) for i in range(size)])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), 1000):
+            part = runs[i : i + 1000]
+            ids = self._ids(" ".join(part))
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part):
+                raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.runs.update((w, raw[x:y]) for w, x, y in zip(part, at, at[1:]))
+            else:
+                self.runs.update((w, self._ids(w).tobytes()) for w in part)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.words) + len(words) > REMEMBERED or len(self.runs) > REMEMBERED:
+            self.words.clear()
+            self.runs.clear()
+        plain = {w: m for w in words for m in [_PLAIN.fullmatch(w)] if m}
+        runs = self.runs
+        self._learn_runs([r for r in dict.fromkeys(r for m in plain.values() for r in (m[1].lower(), m[2]) if r) if r not in runs])
+        for word, m in plain.items():
+            self.words[word] = runs[m[1].lower()] + (runs[m[2]] if m[2] else b"")
+        for word in words - plain.keys():
+            self.words[word] = self._ids(word).tobytes()
+
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), 200):
+            split = [_BLANKS.split(t) if _SEPARATOR.search(t) else t.split() for t in (t or "" for t in texts[i : i + 200])]
+            new = set().union(*split)
+            missing = new.difference(self.words)
+            if missing:
+                self.learn(new if len(self.words) + len(missing) > REMEMBERED else missing)
+            known = self.words
+            for words in split:
+                yield np.frombuffer(b"".join(map(known.__getitem__, words)) + b"\0\0\0\0", "<u4")
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per worker, kept between tasks."""
+    return Encoder(path)
 
 
 class BestFit:
@@ -108,11 +152,10 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, bins: int = OPEN_BI
     small_batches(docs.sparkSession)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, fit, base = Encoder(path), BestFit(length, bins), TaskContext.get().partitionId() << 32
+        encode, fit, base = encoder(path), BestFit(length, bins), TaskContext.get().partitionId() << 32
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "")
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 for k, start in enumerate(range(0, len(ids), length)):
                     part = ids[start : start + length]
                     at, offset = fit.put(len(part))
