@@ -49,7 +49,7 @@ def retained(prints: DataFrame) -> DataFrame:
     schema = "digest string, best struct<n_chars: bigint, rank: bigint, locator: string>, group_size bigint"
     spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
     if source:
-        for key, value in {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4"}.items():
+        for key, value in {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}.items():
             saved[key] = spark.conf.get(key, None)
             spark.conf.set(key, value)
         # the complement of an id falls as the id rises, and cannot overflow
@@ -74,6 +74,7 @@ def unequal(docs: DataFrame, members: DataFrame, digest: Callable[[Column], Colu
     hits = members.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size")
     texts = (docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("bytes"))
              .join(hits, ["doc_id", "digest"]))
+    texts = stored(texts)  # of groups only; read twice
     salts = F.floor(F.col("group_size") / ROWS_PER_SALT).cast("int")
     rows = texts.where("doc_id != keep_id").select("doc_id", "digest", "bytes", F.pmod(F.xxhash64("doc_id"), salts + 1).cast("int").alias("salt"))
     kept = texts.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", F.col("bytes").alias("kept_bytes"), F.explode(F.sequence(F.lit(0), salts)).alias("salt"))
