@@ -33,8 +33,9 @@ LENGTH = 2048
 OPEN_BINS = 1024
 #: Open bins that one task of a later round takes.
 BINS_PER_TASK = 20_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Words, and letter runs, whose ids a worker remembers.
+REMEMBERED = 800_000
+REMEMBERED_RUNS = 1_200_000
 _BLANKS = re.compile("[\t\n\x0b\x0c\r ]+")
 #: Blank to Python, but not to the vocabulary.
 _SEPARATOR = re.compile("[\x1c-\x1f]")
@@ -79,8 +80,9 @@ class Encoder:
                 self.runs.update((w, self._ids(w).tobytes()) for w in part)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED or len(self.runs) > REMEMBERED:
+        if len(self.words) + len(words) > REMEMBERED:
             self.words.clear()
+        if len(self.runs) + len(words) > REMEMBERED_RUNS:
             self.runs.clear()
         plain = {w: m for w in words for m in [_PLAIN.fullmatch(w)] if m}
         runs = self.runs
