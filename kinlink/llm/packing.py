@@ -84,17 +84,21 @@ class Encoder:
             self.words.clear()
         if len(self.runs) + len(words) > REMEMBERED_RUNS:
             self.runs.clear()
-        plain = {w: m for w in words for m in [_PLAIN.fullmatch(w)] if m}
-        runs = self.runs
-        self._learn_runs([r for r in dict.fromkeys(r for m in plain.values() for r in (m[1].lower(), m[2]) if r) if r not in runs])
-        for word, m in plain.items():
-            self.words[word] = runs[m[1].lower()] + (runs[m[2]] if m[2] else b"")
-        for word in words - plain.keys():
-            self.words[word] = self._ids(word).tobytes()
+        runs, known, plain, match = self.runs, self.words, [], _PLAIN.fullmatch
+        for word in words:
+            if found := match(word):
+                run, marks = found.groups()
+                plain.append((word, run.lower(), marks))
+            else:
+                known[word] = self._ids(word).tobytes()
+        self._learn_runs(list({x for _, run, marks in plain for x in (run, marks)}.difference(runs, ("",))))
+        runs[""] = b""
+        for word, run, marks in plain:
+            known[word] = runs[run] + runs[marks]
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for i in range(0, len(texts), 200):
-            split = [_BLANKS.split(t) if _SEPARATOR.search(t) else t.split() for t in (t or "" for t in texts[i : i + 200])]
+        for i in range(0, len(texts), 1000):
+            split = [_BLANKS.split(t) if _SEPARATOR.search(t) else t.split() for t in (t or "" for t in texts[i : i + 1000])]
             new = set().union(*split)
             missing = new.difference(self.words)
             if missing:
@@ -156,14 +160,14 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, bins: int = OPEN_BI
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, fit, base = encoder(path), BestFit(length, bins), TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows: list[tuple] = []
+            columns: list[list[int]] = [[] for _ in _NAMES]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 for k, start in enumerate(range(0, len(ids), length)):
                     part = ids[start : start + length]
                     at, offset = fit.put(len(part))
-                    rows.append((doc_id, k, start, len(part), zlib.crc32(part), base + at, offset))
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+                    for column, value in zip(columns, (doc_id, k, start, len(part), zlib.crc32(part), base + at, offset)):
+                        column.append(value)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, _PIECES)
 
