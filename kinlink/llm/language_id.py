@@ -55,7 +55,7 @@ def has_letter(text: str | None) -> bool:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [r.astype("<f4").tobytes() for _, _, d, o in K.chunks(batch.column("text"), 1 << 19) for r in gram_counts(d, o)]
+        rows = [r.astype("<f4").tobytes() for _, _, d, o in K.chunks(batch.column("text")) for r in gram_counts(d, o)]
         yield pa.record_batch([batch.column("lang"), pa.array(rows, pa.binary())], ["lang", "x"])
 
 
@@ -107,7 +107,7 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
         for batch in batches:
             letters = [has_letter(t) for t in batch.column("text").to_pylist()]
             langs, scores, far = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
-            for a, b, d, o in K.chunks(batch.column("text"), 1 << 19) if m else ():
+            for a, b, d, o in K.chunks(batch.column("text")) if m else ():
                 for i in range(0, b - a, 256):
                     j = min(b - a, i + 256)
                     best, cosine = m.predict(gram_counts(d[o[i] : o[j]], o[i : j + 1] - o[i]))

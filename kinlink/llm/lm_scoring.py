@@ -42,7 +42,7 @@ END = K.U64(0x5EED0E7D00000001)
 START = K.U64(0x5EED57A7000000F1)
 LOW = K.U64((1 << 48) - 1)
 #: n-grams that one task sums before it sends them.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
