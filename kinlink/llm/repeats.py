@@ -84,7 +84,8 @@ def _batch_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 
 def _bucket(gram: np.ndarray, n: int) -> np.ndarray:
-    return ((gram >> K.U64(32)) * K.U64(n) >> K.U64(32)).astype(np.int64)
+    """Anchors have small hashes, so they are mixed again."""
+    return ((K.mix(gram) >> K.U64(32)) * K.U64(n) >> K.U64(32)).astype(np.int64)
 
 
 def _first(name: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
