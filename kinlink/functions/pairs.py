@@ -1,0 +1,143 @@
+"""Comparisons of two values: token sets, numbers, legal forms. Array functions; Arrow UDFs only for alignments."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    return F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Share of a's distinct values that b has."""
+    return F.when(F.size(F.array_distinct(a)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_distinct(a)))
+
+
+def extra_tokens(a: Column, b: Column, edits: int = 2) -> Column:
+    """Tokens of a without a token of b within so many edits."""
+    return F.filter(a, lambda x: ~F.exists(b, lambda y: F.levenshtein(x, y, edits) >= 0))
+
+
+def number_relation(a: Column, b: Column, near: int = 10) -> Column:
+    """missing, equal, truncation (last one or two digits cut, either way), nudge, other."""
+    cut = lambda x, y: (F.floor(x / 10) == y) | (F.floor(x / 100) == y)
+    return F.when(a.isNull() | b.isNull(), "missing").when(a == b, "equal").when(cut(a, b) | cut(b, a), "truncation").when(F.abs(a - b) <= near, "nudge").otherwise("other")
+
+
+def legal_relation(a: Column, b: Column) -> Column:
+    inter = F.size(F.array_intersect(a, b))
+    return (F.when((F.size(a) == 0) & (F.size(b) == 0), "none").when(F.size(b) == 0, "dropped").when(F.size(a) == 0, "added").when((inter == F.size(a)) & (inter == F.size(b)), "same")
+            .when(inter == F.size(a), "superset").when(inter == F.size(b), "subset").otherwise("changed"))
+
+
+def numbers_compatible(a: Column, b: Column, near: int = 10) -> Column:
+    """Whether every number of b is within ``near`` of one of a; null if b has none."""
+    return F.when(F.size(b) > 0, F.forall(b, lambda y: F.exists(a, lambda x: F.abs(x - y) <= near)))
+
+
+def lcs_length(a: str, b: str) -> int:
+    """Longest common subsequence, one machine word per 64 characters of a, as one integer."""
+    if not a or not b:
+        return 0
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = full
+    for c in b:
+        hit = rows & where.get(c, 0)
+        rows = ((rows + hit) | (rows - hit)) & full
+    return len(a) - rows.bit_count()
+
+
+def indel_similarity(a: str | None, b: str | None) -> float | None:
+    if not a or not b:
+        return None
+    return 2 * lcs_length(a, b) / (len(a) + len(b))
+
+
+def jaro_winkler_similarity(a: str | None, b: str | None, prefix_weight: float = 0.1, boost_from: float = 0.7) -> float | None:
+    if not a or not b:
+        return None
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    used, first = [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                first.append(c)
+                break
+    m = len(first)
+    if not m:
+        return 0.0
+    swaps = sum(x != y for x, y in zip(first, (c for c, u in zip(b, used) if u))) // 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    same = 0
+    while same < min(4, len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    return jaro + same * prefix_weight * (1 - jaro) if jaro > boost_from else jaro
+
+
+def osa_distance(a: str, b: str) -> int:
+    """Optimal string alignment: edits and swaps of neighbours, no substring edited twice."""
+    before, last = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
+            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, before[j - 2] + 1)
+            row.append(best)
+        before, last = last, row
+    return last[-1]
+
+
+@F.pandas_udf("double")
+def sim_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([indel_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf("double")
+def sim_token_sort(a: pd.Series, b: pd.Series) -> pd.Series:
+    ordered = lambda s: " ".join(sorted((s or "").split()))
+    return pd.Series([indel_similarity(ordered(x), ordered(y)) for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf("double")
+def sim_jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([jaro_winkler_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf("long")
+def sim_osa(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([osa_distance(x or "", y or "") for x, y in zip(a, b)], dtype="int64")
+
+
+def best_prefix(p: list[float], truth: list[float] | None = None) -> int:
+    """How many of the pairs (p descending) to keep for the largest expected F0.5.
+
+    ``truth`` is the distribution of how many of all candidates are true; by default that of the pairs.
+    """
+    n = len(p)
+    tail = [[1.0]]  # tail[i]: distribution of true pairs among the last i
+    for q in reversed(p):
+        d = tail[-1]
+        tail.append([(d[k] if k < len(d) else 0.0) * (1 - q) + (d[k - 1] * q if k else 0.0) for k in range(len(d) + 1)])
+    best, kept, head = tail[n][0], 0, [1.0]
+    for k in range(1, n + 1):
+        q = p[k - 1]
+        head = [(head[h] if h < len(head) else 0.0) * (1 - q) + (head[h - 1] * q if h else 0.0) for h in range(len(head) + 1)]
+        rest = tail[n - k]
+        value = sum(head[h] * rest[m] * 1.25 * h / (0.25 * (h + m) + k) for h in range(1, k + 1) for m in range(len(rest)))
+        if value > best + 1e-12:
+            best, kept = value, k
+    return kept
+
+
+@F.pandas_udf("int")
+def expected_f_size(p: pd.Series) -> pd.Series:
+    """Size of the best prefix of each array of probabilities, descending; at most 30 are weighed."""
+    return pd.Series([best_prefix([float(x) for x in v[:30]]) for v in p], dtype="int32")
