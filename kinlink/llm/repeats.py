@@ -104,13 +104,21 @@ _OUT = "kind string, bucket int, doc_id long, payload binary"
 _SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
 
 
-def _removed(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple]:
-    """Rows of removed bytes, one per document: [from, to) pairs."""
-    order = np.argsort(doc, kind="stable")
-    doc, spans = doc[order], np.stack([lo, hi + LENGTH], 1)[order].astype("<i8")
-    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else [0]
-    for a, b in zip(cut[:-1], cut[1:]):
-        yield "removed", -1, int(doc[a]), spans[a:b].tobytes()
+def _removed(n: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple]:
+    """Rows of removed bytes for each of n groups of documents: packed (document, from, to)."""
+    order, cut = K.split_by((K.mix(doc.astype(np.int64).view(K.U64)) % K.U64(n)).astype(np.int64), n)
+    spans = np.stack([doc, lo, hi + LENGTH], 1)[order].astype("<i8")
+    for k in range(n):
+        if cut[k + 1] > cut[k]:
+            yield "removed", -1 - k, 0, spans[cut[k] : cut[k + 1]].tobytes()
+
+
+def _by_document(rows: pa.Table) -> pa.Table:
+    """doc_id and its packed [from, to) pairs, of one group of documents."""
+    spans = np.frombuffer(b"".join(rows.column("payload").to_pylist()), "<i8").reshape(-1, 3)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    cut = np.append(np.flatnonzero(np.concatenate([[True], spans[1:, 0] != spans[:-1, 0]])), len(spans))
+    return pa.table({"doc_id": pa.array(spans[cut[:-1], 0].copy()), "spans": pa.array([spans[x:y, 1:].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())})
 
 
 def _table(rows) -> pa.Table:
@@ -124,7 +132,7 @@ def _named(n: int):
             gram, doc, place, lo, hi, context = _batch_anchors(batch)
             first = _first(K.mix(gram) ^ context, doc, place)
             again = ~first
-            rows = [(k, -1 - d % n, d, p) for k, _, d, p in _removed(doc[again], lo[again], hi[again])]
+            rows = list(_removed(n, doc[again], lo[again], hi[again]))
             own = np.flatnonzero(first)
             order, cut = K.split_by(_bucket(gram[own], n), n)
             own = own[order]
@@ -157,13 +165,13 @@ def _judged(n: int, bits: int):
     """Of one bucket: repeats of a whole context, and a segment of the bit array for what must be compared byte for byte."""
     def judge(rows: pa.Table) -> pa.Table:
         own = rows.to_pylist()
-        out = [("removed", -1, r["doc_id"], r["payload"]) for r in own if r["kind"] == "removed"]
+        out = [("removed", r["bucket"], 0, r["payload"]) for r in own if r["kind"] == "removed"]
         parts = [_unpack(r["payload"]) for r in own if r["kind"] == "anchors"]
         if parts:
             gram, context, doc, place, lo, hi = (np.concatenate(c) for c in zip(*parts))
             name = K.mix(gram) ^ context
             first = _first(name, doc, place)
-            out += _removed(doc[~first], lo[~first], hi[~first])
+            out += _removed(n, doc[~first], lo[~first], hi[~first])
             o = np.flatnonzero(first)
             order = o[np.lexsort((name[o], gram[o]))]
             g, c = gram[order], name[order]
@@ -208,7 +216,11 @@ def _fetch(n: int, asked, bits: int):
     return fetched
 
 
-def _compare(rows: pa.Table) -> pa.Table:
+def _compare(n: int):
+    return lambda rows: _compared(n, rows)
+
+
+def _compared(n: int, rows: pa.Table) -> pa.Table:
     """Strings of one bucket's fetched contexts, in document order within each gram."""
     rows = rows.sort_by([("gram", "ascending"), ("doc_id", "ascending"), ("place", "ascending")])
     out: list[tuple[int, int, int]] = []
@@ -228,7 +240,7 @@ def _compare(rows: pa.Table) -> pa.Table:
     doc, lo, hi = (np.array(c, np.int64) for c in zip(*out))
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1] + 1)])
     head = np.flatnonzero(new)
-    return _table(_removed(doc[head], lo[head], hi[np.append(head[1:], len(hi)) - 1]))
+    return _table(_removed(n, doc[head], lo[head], hi[np.append(head[1:], len(hi)) - 1]))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -238,8 +250,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     judged = stored(own.mapInArrow(_named(n), _OUT).groupBy("bucket").applyInArrow(_judged(n, FETCH_BITS), _OUT))
     asked = {r["bucket"]: np.frombuffer(bytes(r["payload"]), np.uint8) for r in judged.where("kind = 'ask'").select("bucket", "payload").toLocalIterator()}
-    compared = own.mapInArrow(_fetch(n, spark.sparkContext.broadcast(asked), FETCH_BITS), _FETCHED).groupBy("bucket").applyInArrow(_compare, _OUT)
-    return judged.where("kind = 'removed'").unionByName(compared).groupBy("doc_id").agg(F.collect_list("payload").alias("spans"))
+    compared = own.mapInArrow(_fetch(n, spark.sparkContext.broadcast(asked), FETCH_BITS), _FETCHED).groupBy("bucket").applyInArrow(_compare(n), _OUT)
+    return judged.where("kind = 'removed'").unionByName(compared).groupBy("bucket").applyInArrow(_by_document, "doc_id long, spans binary")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +260,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, parts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             raw = (text or "").encode()
             merged: list[list[int]] = []
-            for a, b in sorted(np.frombuffer(b"".join(parts or ()), "<i8").reshape(-1, 2).tolist()):
+            for a, b in sorted(np.frombuffer(parts or b"", "<i8").reshape(-1, 2).tolist()):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
