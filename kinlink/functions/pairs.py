@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -95,23 +96,23 @@ def osa_distance(a: str, b: str) -> int:
     return last[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sim_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sim_token_sort(a: pd.Series, b: pd.Series) -> pd.Series:
     ordered = lambda s: " ".join(sorted((s or "").split()))
     return pd.Series([indel_similarity(ordered(x), ordered(y)) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sim_jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def sim_osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa_distance(x or "", y or "") for x, y in zip(a, b)], dtype="int64")
 
@@ -137,7 +138,7 @@ def best_prefix(p: list[float], truth: list[float] | None = None) -> int:
     return kept
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def expected_f_size(p: pd.Series) -> pd.Series:
     """Size of the best prefix of each array of probabilities, descending; at most 30 are weighed."""
     return pd.Series([best_prefix([float(x) for x in v[:30]]) for v in p], dtype="int32")

@@ -9,28 +9,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-by_s1, by_r = W.partitionBy("s1"), W.partitionBy("r")
-s1_order, r_order = by_s1.orderBy(F.desc("p"), "r"), by_r.orderBy(F.desc("p"), "s1")
+def by_s1():
+    return W.partitionBy("s1")
+
+
+def by_r():
+    return W.partitionBy("r")
+
+
+def s1_order():
+    return by_s1().orderBy(F.desc("p"), "r")
+
+
+def r_order():
+    return by_r().orderBy(F.desc("p"), "s1")
+
+
 #: Break-even of the k-th pair (from 0) of an entity under F0.5.
 BREAK_EVEN = "(5 * k + 1) / (6.25 * k + 2)"
 
 
 def group_top2(edges: DataFrame) -> DataFrame:
     """Best, second best (0 if alone) and size of each record's group, on every edge."""
-    ranked = edges.withColumn("_k", F.row_number().over(r_order))
-    best, second = F.max("p").over(by_r), F.max(F.when(F.col("_k") == 2, F.col("p"))).over(by_r)
-    return ranked.select("s1", "r", "p", best.alias("best"), F.coalesce(second, F.lit(0.0)).alias("second"), F.count(F.lit(1)).over(by_r).alias("size"))
+    ranked = edges.withColumn("_k", F.row_number().over(r_order()))
+    best, second = F.max("p").over(by_r()), F.max(F.when(F.col("_k") == 2, F.col("p"))).over(by_r())
+    return ranked.select("s1", "r", "p", best.alias("best"), F.coalesce(second, F.lit(0.0)).alias("second"), F.count(F.lit(1)).over(by_r()).alias("size"))
 
 
 def gaps_and_margin(edges: DataFrame) -> DataFrame:
     """Distance to the best of the entity and of the record, and lead over the record's best other entity."""
     top = group_top2(edges)
     rival = F.when(F.col("p") >= F.col("best"), F.col("second")).otherwise(F.col("best"))
-    return top.select("s1", "r", F.round(F.max("p").over(by_s1) - F.col("p"), 6).alias("gap_s1"), F.round(F.col("best") - F.col("p"), 6).alias("gap_r"), F.round(F.col("p") - rival, 6).alias("margin"))
+    return top.select("s1", "r", F.round(F.max("p").over(by_s1()) - F.col("p"), 6).alias("gap_s1"), F.round(F.col("best") - F.col("p"), 6).alias("gap_r"), F.round(F.col("p") - rival, 6).alias("margin"))
 
 
 def cand_log_counts(edges: DataFrame) -> DataFrame:
-    return edges.select("s1", "r", F.round(F.log1p(F.count(F.lit(1)).over(by_s1)), 6).alias("log_n_s1"), F.round(F.log1p(F.count(F.lit(1)).over(by_r)), 6).alias("log_n_r"))
+    return edges.select("s1", "r", F.round(F.log1p(F.count(F.lit(1)).over(by_s1())), 6).alias("log_n_s1"), F.round(F.log1p(F.count(F.lit(1)).over(by_r())), 6).alias("log_n_r"))
 
 
 def rival_counts(entities: DataFrame, key: str) -> DataFrame:
@@ -40,22 +54,22 @@ def rival_counts(entities: DataFrame, key: str) -> DataFrame:
 
 
 def record_side_stats(edges: DataFrame) -> DataFrame:
-    second = F.max(F.when(F.col("_k") == 2, F.col("p"))).over(by_r)
-    total = F.sum("p").over(by_r)
-    return edges.withColumn("_k", F.row_number().over(r_order)).select(
-        "s1", "r", (F.col("_k") - 1).alias("r_rank"), F.max("p").over(by_r).alias("r_best"), F.coalesce(second, F.lit(0.0)).alias("r_second"),
-        F.sum((F.col("p") > 0.5).cast("int")).over(by_r).alias("r_above_half"), F.round(total, 6).alias("r_sum"), F.round(F.col("p") / total, 6).alias("r_share"), F.count(F.lit(1)).over(by_r).alias("r_n"))
+    second = F.max(F.when(F.col("_k") == 2, F.col("p"))).over(by_r())
+    total = F.sum("p").over(by_r())
+    return edges.withColumn("_k", F.row_number().over(r_order())).select(
+        "s1", "r", (F.col("_k") - 1).alias("r_rank"), F.max("p").over(by_r()).alias("r_best"), F.coalesce(second, F.lit(0.0)).alias("r_second"),
+        F.sum((F.col("p") > 0.5).cast("int")).over(by_r()).alias("r_above_half"), F.round(total, 6).alias("r_sum"), F.round(F.col("p") / total, 6).alias("r_share"), F.count(F.lit(1)).over(by_r()).alias("r_n"))
 
 
 def s1_side_stats(edges: DataFrame) -> DataFrame:
     """The first has no gap above; the last's gap below is its own p."""
-    above, below, total = F.lag("p").over(s1_order), F.lead("p").over(s1_order), F.sum("p").over(by_s1)
+    above, below, total = F.lag("p").over(s1_order()), F.lead("p").over(s1_order()), F.sum("p").over(by_s1())
     same = F.sum("p").over(W.partitionBy("s1", "source"))
-    count = lambda t: F.sum((F.col("p") > t).cast("int")).over(by_s1)
+    count = lambda t: F.sum((F.col("p") > t).cast("int")).over(by_s1())
     return edges.select(
-        "s1", "r", (F.row_number().over(s1_order) - 1).alias("s_rank"), F.max("p").over(by_s1).alias("s_max"), F.round(total, 6).alias("s_sum"), count(0.5).alias("n50"), count(0.8).alias("n80"), count(0.95).alias("n95"),
+        "s1", "r", (F.row_number().over(s1_order()) - 1).alias("s_rank"), F.max("p").over(by_s1()).alias("s_max"), F.round(total, 6).alias("s_sum"), count(0.5).alias("n50"), count(0.8).alias("n80"), count(0.95).alias("n95"),
         F.round(F.coalesce(above - F.col("p"), F.lit(0.0)), 6).alias("gap_up"), F.round(F.col("p") - F.coalesce(below, F.lit(0.0)), 6).alias("gap_down"),
-        F.round(same - F.col("p"), 6).alias("same_source"), F.round(total - same, 6).alias("other_source"), F.count(F.lit(1)).over(by_s1).alias("s_n"))
+        (F.round(same - F.col("p"), 6) + F.lit(0.0)).alias("same_source"), (F.round(total - same, 6) + F.lit(0.0)).alias("other_source"), F.count(F.lit(1)).over(by_s1()).alias("s_n"))
 
 
 def contested_records(edges: DataFrame, least: float = 0.01) -> DataFrame:
@@ -69,7 +83,7 @@ def record_mass(edges: DataFrame) -> DataFrame:
 
 def rival_copies(edges: DataFrame, sure: float = 0.5) -> DataFrame:
     """Of each edge: the record's best other entity, its p, and its other sure records in the same source."""
-    one = edges.withColumn("_k", F.row_number().over(r_order))
+    one = edges.withColumn("_k", F.row_number().over(r_order()))
     first = one.where("_k = 1").select("r", F.col("s1").alias("s_a"), F.col("p").alias("p_a"))
     second = one.where("_k = 2").select("r", F.col("s1").alias("s_b"), F.col("p").alias("p_b"))
     copies = edges.where(F.col("p") >= sure).groupBy(F.col("s1").alias("rival"), "source").agg(F.count(F.lit(1)).alias("copies"))
@@ -80,24 +94,24 @@ def rival_copies(edges: DataFrame, sure: float = 0.5) -> DataFrame:
 
 def candidate_cut(edges: DataFrame, least: float = 0.02, top: int = 2) -> DataFrame:
     """First the filter, then each record's best entities."""
-    return edges.where(F.col("p") >= least).withColumn("_k", F.row_number().over(r_order)).where(F.col("_k") <= top).drop("_k")
+    return edges.where(F.col("p") >= least).withColumn("_k", F.row_number().over(r_order())).where(F.col("_k") <= top).drop("_k")
 
 
 # ownership and decisions
 
 def argmax_owner(edges: DataFrame) -> DataFrame:
     """Each record's best entity, ties to the lower s1."""
-    return edges.withColumn("_k", F.row_number().over(r_order)).where("_k = 1").drop("_k")
+    return edges.withColumn("_k", F.row_number().over(r_order())).where("_k = 1").drop("_k")
 
 
 def own_rank(owned: DataFrame) -> DataFrame:
-    return owned.withColumn("k", F.row_number().over(s1_order) - 1)
+    return owned.withColumn("k", F.row_number().over(s1_order()) - 1)
 
 
 def rank_threshold(owned: DataFrame, first: float = 0.55, rest: float = 0.4) -> DataFrame:
     """The best pair above ``first``; the others above ``rest``, if the best was taken."""
-    best = F.max("p").over(by_s1)
-    return own_rank(owned).where((best > first) & ((F.col("k") == 0) | (F.col("p") > rest))).drop("k")
+    ranked = own_rank(owned).withColumn("_best", F.max("p").over(by_s1()))
+    return ranked.where((F.col("_best") > first) & ((F.col("k") == 0) | (F.col("p") > rest))).drop("k", "_best")
 
 
 def greedy_breakeven(owned: DataFrame, first: float | None = None) -> DataFrame:
@@ -112,13 +126,13 @@ def logit_shift(p: Column, shift: Column | float) -> Column:
 
 
 def crowd_shift(edges: DataFrame, base: float = 0.2, less: float = 0.3, crowd: int = 4) -> DataFrame:
-    shift = F.lit(base) - F.when(F.count(F.lit(1)).over(by_r) >= crowd, F.lit(less)).otherwise(F.lit(0.0))
+    shift = F.lit(base) - F.when(F.count(F.lit(1)).over(by_r()) >= crowd, F.lit(less)).otherwise(F.lit(0.0))
     return edges.select("s1", "r", F.round(logit_shift(F.col("p"), shift), 6).alias("p_shifted"))
 
 
 def contested_threshold(edges: DataFrame, contested: float = 0.7, free: float = 0.4) -> DataFrame:
     """Owned pairs above a bar that depends on whether a rival claims the record."""
-    ranked = edges.withColumn("_k", F.row_number().over(r_order)).withColumn("_n", F.sum((F.col("p") >= 0.3).cast("int")).over(by_r))
+    ranked = edges.withColumn("_k", F.row_number().over(r_order())).withColumn("_n", F.sum((F.col("p") >= 0.3).cast("int")).over(by_r()))
     return ranked.where((F.col("_k") == 1) & (F.col("p") > F.when(F.col("_n") >= 2, contested).otherwise(free))).select("s1", "r", "p")
 
 
@@ -128,7 +142,7 @@ def rule_cap(matches: DataFrame, two: int = 2, three: int = 2, total: int = 3) -
     """At most so many records of each source, then in all, best p first."""
     order = [F.desc("p"), "r"]
     kept = matches.withColumn("_k", F.row_number().over(W.partitionBy("s1", "source").orderBy(*order))).where(F.col("_k") <= F.when(F.col("source") == 2, two).otherwise(three))
-    return kept.withColumn("_k", F.row_number().over(by_s1.orderBy(*order))).where(F.col("_k") <= total).select("s1", "r", "p", "source")
+    return kept.withColumn("_k", F.row_number().over(by_s1().orderBy(*order))).where(F.col("_k") <= total).select("s1", "r", "p", "source")
 
 
 def rule_crowded(matches: DataFrame, edges: DataFrame, most: float = 0.75, crowd: int = 4) -> DataFrame:
@@ -140,7 +154,7 @@ def rule_crowded(matches: DataFrame, edges: DataFrame, most: float = 0.75, crowd
 def rule_best_of_empty(matches: DataFrame, edges: DataFrame, least: float = 0.3) -> DataFrame:
     """Entities without a match get their best record that nobody has."""
     free = edges.where(F.col("p") > least).join(matches.select("s1").distinct(), "s1", "left_anti").join(matches.select("r").distinct(), "r", "left_anti")
-    mine = free.withColumn("_k", F.row_number().over(r_order)).where("_k = 1").withColumn("_k", F.row_number().over(s1_order)).where("_k = 1")
+    mine = free.withColumn("_k", F.row_number().over(r_order())).where("_k = 1").withColumn("_k", F.row_number().over(s1_order())).where("_k = 1")
     return matches.select("s1", "r").unionByName(mine.select("s1", "r"))
 
 
@@ -149,27 +163,27 @@ def rule_missing_source(matches: DataFrame, edges: DataFrame, least: float = 0.5
     have = matches.groupBy("s1").agg(F.max((F.col("source") == 2).cast("int")).alias("two"), F.max((F.col("source") == 3).cast("int")).alias("three"))
     lack = have.where("two + three = 1").select("s1", F.when(F.col("two") == 1, 3).otherwise(2).cast("long").alias("source"))
     free = edges.where(F.col("p") >= least).join(matches.select("r").distinct(), "r", "left_anti").join(lack, ["s1", "source"])
-    return free.withColumn("_k", F.row_number().over(s1_order)).where("_k = 1").select("s1", "r")
+    return free.withColumn("_k", F.row_number().over(s1_order())).where("_k = 1").select("s1", "r")
 
 
 def rule_soft_trim(matches: DataFrame, size: int = 4, least: float = 0.6) -> DataFrame:
-    return matches.withColumn("_n", F.count(F.lit(1)).over(by_s1)).where((F.col("_n") < size) | (F.col("p") >= least)).select("s1", "r")
+    return matches.withColumn("_n", F.count(F.lit(1)).over(by_s1())).where((F.col("_n") < size) | (F.col("p") >= least)).select("s1", "r")
 
 
 def rule_singleton(matches: DataFrame, least: float = 0.8) -> DataFrame:
-    return matches.withColumn("_n", F.count(F.lit(1)).over(by_s1)).where((F.col("_n") > 1) | (F.col("p") > least)).select("s1", "r")
+    return matches.withColumn("_n", F.count(F.lit(1)).over(by_s1())).where((F.col("_n") > 1) | (F.col("p") > least)).select("s1", "r")
 
 
 def rule_mass(edges: DataFrame, least: float = 0.3) -> DataFrame:
     """p over the record's mass where that is above 1, then the bar."""
-    share = F.round(F.col("p") / F.greatest(F.lit(1.0), F.sum("p").over(by_r)), 6)
+    share = F.round(F.col("p") / F.greatest(F.lit(1.0), F.sum("p").over(by_r())), 6)
     return edges.select("s1", "r", share.alias("share")).where(F.col("share") > least)
 
 
 def consensus(votes: DataFrame, n: int) -> DataFrame:
     """Pairs that at least n voters have (votes: voter, s1, r), one owner each: most votes, then lower s1."""
     counted = votes.distinct().groupBy("s1", "r").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n)
-    return counted.withColumn("_k", F.row_number().over(by_r.orderBy(F.desc("n"), "s1"))).where("_k = 1").select("s1", "r", "n")
+    return counted.withColumn("_k", F.row_number().over(by_r().orderBy(F.desc("n"), "s1"))).where("_k = 1").select("s1", "r", "n")
 
 
 def diff_matches(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -208,7 +222,7 @@ def tune_threshold(universe: DataFrame, truth: DataFrame, owned: DataFrame, grid
     """Macro F0.5 at each threshold in one pass: an owned pair counts for every threshold it reaches."""
     n = universe.count()
     size = universe.select("s1").distinct().join(truth.groupBy("s1").agg(F.countDistinct("r").alias("n_true")), "s1", "left").na.fill(0, ["n_true"])
-    hits = owned.join(truth.select("s1", "r", F.lit(1).alias("y")).distinct(), ["s1", "r"], "left").na.fill(0, ["y"])
+    hits = owned.select("s1", "r", "p").join(truth.select("s1", "r", F.lit(1).alias("y")).distinct(), ["s1", "r"], "left").na.fill(0, ["y"])
     steps = F.explode(F.filter(F.array(*map(F.lit, grid)), lambda t: F.col("p") >= t)).alias("t")
     got = hits.select("s1", "y", steps).groupBy("t", "s1").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("y").alias("n_hit"))
     # entities without a prediction at t score 1 if they have no truth, else 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def eid_decode(eid: Column) -> Column:
     return F.concat(F.lit("S"), source_of(eid).cast("string"), F.lit("-"), F.pmod(eid, F.lit(SOURCE_STEP)).cast("string"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _add(a: Column, b: int) -> Column:
     """Sum modulo 2^64 by halves, so that ANSI overflow never raises."""
     mask = F.lit(0xFFFFFFFF)
@@ -36,26 +43,26 @@ def _multiply(a: Column, b: int) -> Column:
     """Product modulo 2^64 from 16-bit limbs of both; every partial sum stays below 2^36."""
     limb = [F.shiftrightunsigned(a, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     fixed = [F.lit(b >> (16 * k) & 0xFFFF).cast("long") for k in range(4)]
-    out, carry = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for k in range(4):
+
+    def column(k: int, carry: Column) -> Column:
+        """Limb k of the product and all above it, in place."""
         total = carry
         for i in range(k + 1):
             total = total + limb[i] * fixed[k - i]
-        out = out.bitwiseOR(F.shiftleft(total.bitwiseAND(F.lit(0xFFFF)), 16 * k))
-        carry = F.shiftrightunsigned(total, 16)
-    return out
+        here = lambda t: F.shiftleft(t.bitwiseAND(F.lit(0xFFFF)), 16 * k)
+        return _let(total, lambda t: here(t) if k == 3 else here(t).bitwiseOR(column(k + 1, F.shiftrightunsigned(t, 16))))
+
+    return column(0, F.lit(0).cast("long"))
 
 
 def splitmix64(key: Column) -> Column:
     """The 64-bit SplitMix finaliser, as a signed long with the same bits."""
-    z = _add(key, 0x9E3779B97F4A7C15)
-    z = _multiply(z.bitwiseXOR(F.shiftrightunsigned(z, 30)), 0xBF58476D1CE4E5B9)
-    z = _multiply(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), 0x94D049BB133111EB)
-    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+    stir = lambda bits, factor: lambda z: _let(z.bitwiseXOR(F.shiftrightunsigned(z, bits)), lambda x: _multiply(x, factor))
+    return _let(_let(_let(_add(key, 0x9E3779B97F4A7C15), stir(30, 0xBF58476D1CE4E5B9)), stir(27, 0x94D049BB133111EB)), lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, 31)))
 
 
 def unsigned_mod(z: Column, n: int) -> Column:
-    return ((F.shiftrightunsigned(z, 1) % n) * 2 + z.bitwiseAND(F.lit(1).cast("long"))) % n
+    return _let(z, lambda x: ((F.shiftrightunsigned(x, 1) % n) * 2 + x.bitwiseAND(F.lit(1).cast("long"))) % n)
 
 
 def fold_of(key: Column) -> Column:

@@ -1,4 +1,356 @@
-"""All linkage queries and their SQL."""
+"""All linkage queries on the driver's tables, and their SQL.
+
+Roles of the tables: lineitem is the scored candidate graph (s1 = order, r = part, p from the line's
+numbers, y = returned), orders the universe of entities, documents the records with text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import pairs as P
+from ..functions import text as T
+from ..operators import graph as G
+from ..operators import keys as K
+from ..operators import retrieval as R
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+GRID = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+
+_P = "((l_quantity * 7 + round(l_discount * 100) * 13 + round(l_tax * 100) * 29 + l_linenumber * 31) % 97 + 0.5) / 98"
+_EDGES = f"""edges AS (SELECT l_orderkey AS s1, l_partkey AS r, max(CAST({_P} AS DOUBLE)) AS p, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y, CAST(2 + l_partkey % 2 AS BIGINT) AS source
+  FROM lineitem GROUP BY l_orderkey, l_partkey)"""
+_OWNED = _EDGES + ", owned AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, s1) AS k FROM edges) WHERE k = 1)"
+_MATCHES = _OWNED + ", matches AS (SELECT * FROM owned WHERE p >= 0.3)"
+_UNIVERSE = "universe AS (SELECT o_orderkey AS s1, o_orderpriority AS grp FROM orders), truth AS (SELECT s1, r FROM edges WHERE y = 1)"
+_F05 = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 ELSE 1.25 * n_hit / (0.25 * n_true + n_pred) END"
+_ENTITY = _MATCHES + ", " + _UNIVERSE + f""", counts AS (SELECT u.s1, grp,
+    (SELECT count(*) FROM truth t WHERE t.s1 = u.s1) AS n_true, (SELECT count(*) FROM matches m WHERE m.s1 = u.s1) AS n_pred,
+    (SELECT count(*) FROM matches m JOIN truth t ON m.s1 = t.s1 AND m.r = t.r WHERE m.s1 = u.s1) AS n_hit FROM universe u),
+  scored AS (SELECT *, round({_F05}, 6) AS f05 FROM counts)"""
+_RECORDS = "records AS (SELECT doc_id AS eid, coalesce(lang, '') AS country, array_to_string(list_slice(string_split_regex(coalesce(text, ''), '\\s+'), 1, 8), ' ') AS name FROM documents)"
+_FOLD = f"lower(regexp_replace(regexp_replace(translate(name, '{T.ACCENTED}', '{T.UNACCENTED}'), '[\\x{{0300}}-\\x{{036f}}]', '', 'g'), '[^\\x00-\\x7F]', ' ', 'g'))"
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.LEGAL + T.NAME_STOP) + "]"
+_TOKENS = f"list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))"
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("s1"), F.col("l_partkey").alias("r")).agg(
+        F.max(F.expr(f"cast({_P} as double)")).alias("p"), F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("y"), F.first(F.expr("cast(2 + l_partkey % 2 as bigint)")).alias("source"))
+
+
+def owned(spark: SparkSession, d: str) -> DataFrame:
+    return G.argmax_owner(edges(spark, d))
+
+
+def matches(spark: SparkSession, d: str) -> DataFrame:
+    return owned(spark, d).where("p >= 0.3")
+
+
+def universe(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("s1"), F.col("o_orderpriority").alias("grp"))
+
+
+def truth(spark: SparkSession, d: str) -> DataFrame:
+    return edges(spark, d).where("y = 1").select("s1", "r")
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    name = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), "\\s+"), 1, 8), " ")
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("eid"), F.coalesce("lang", F.lit("")).alias("country"), name.alias("name"))
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return G.per_entity_f05(universe(spark, d), truth(spark, d), matches(spark, d))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+    return add
+
+
+def _edge_query(name: str, f, sql: str, source=edges) -> None:
+    query(name, sql)(lambda spark, d: f(source(spark, d)))
+
+
+# keys and folds
+
+@query("eid_encode", "SELECT c_name, CASE WHEN regexp_matches(t, '^S[123]-(0|[1-9][0-9]{0,8})$') THEN CAST(substr(t, 2, 1) AS BIGINT) * 1000000000 + CAST(substr(t, 4) AS BIGINT) END AS eid FROM (SELECT c_name, 'S' || CAST(1 + c_custkey % 4 AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR) AS t FROM customer)")
+def _eid(spark, d):
+    t = F.concat(F.lit("S"), (1 + F.col("c_custkey") % 4).cast("string"), F.lit("-"), F.col("c_custkey").cast("string"))
+    return _read(spark, d, "customer").select("c_name", K.eid_encode(t).alias("eid"))
+
+
+_MIX = "SELECT c_custkey AS key, (c_custkey::UHUGEINT + 1000000000 + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z0 FROM customer"
+_SM = f"""WITH a AS ({_MIX}), b AS (SELECT key, (xor(z0::UBIGINT, z0::UBIGINT >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z1 FROM a),
+  c AS (SELECT key, (xor(z1::UBIGINT, z1::UBIGINT >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z2 FROM b), z AS (SELECT key, xor(z2::UBIGINT, z2::UBIGINT >> 31) AS z FROM c)
+  SELECT key, CAST(z % 20 AS BIGINT) AS fold, z % 20 < 5 AS holdout, CASE WHEN z % 20 < 5 THEN -1 ELSE CAST((z % 20 - 5) // 5 AS BIGINT) END AS oof, (z % 20) % 5 = 0 AND (z // 20) % 4 = 0 AS dev FROM z"""
+
+
+@query("fold_of", _SM)
+def _folds(spark, d):
+    e = F.col("c_custkey").cast("long") + 1_000_000_000
+    return _read(spark, d, "customer").select(F.col("c_custkey").alias("key"), K.fold_of(e).alias("fold"), K.is_holdout(e).alias("holdout"), K.oof_group(e).alias("oof"), K.dev_sample(e).alias("dev"))
+
+
+# text
+
+@query("name_tokens", f"WITH {_RECORDS} SELECT eid, array_to_string({_TOKENS}, ' ') AS tokens FROM records")
+def _tokens(spark, d):
+    return records(spark, d).select("eid", F.array_join(T.name_tokens(F.col("name")), " ").alias("tokens"))
+
+
+@query("fold", f"WITH {_RECORDS} SELECT eid, {_FOLD} AS folded FROM records")
+def _fold(spark, d):
+    return records(spark, d).select("eid", T.fold(F.col("name")).alias("folded"))
+
+
+@query("name_key", f"WITH {_RECORDS} SELECT eid, CASE WHEN len({_TOKENS}) = 0 THEN '' ELSE country || '|' || array_to_string(list_sort(list_distinct({_TOKENS})), ' ') END AS key FROM records")
+def _name_key(spark, d):
+    return records(spark, d).select("eid", T.name_key(F.col("country"), F.col("name")).alias("key"))
+
+
+@query("name_concat", f"WITH {_RECORDS} SELECT eid, array_to_string({_TOKENS}, '') AS joined FROM records WHERE len({_TOKENS}) >= 2")
+def _concat(spark, d):
+    return records(spark, d).select("eid", T.name_concat(T.name_tokens(F.col("name"))).alias("joined")).where("joined IS NOT NULL")
+
+
+def _skeleton_sql() -> str:
+    out = "p_name"
+    for old, new in T.PHONETIC:
+        out = f"replace({out}, '{old}', '{new}')"
+    out = f"(substr({out}, 1, 1) || regexp_replace(substr({out}, 2), '[aeiouyh]', '', 'g'))"
+    for c in "bdfgjklmnprstv":
+        out = f"regexp_replace({out}, '{c}{{2,}}', '{c}', 'g')"
+    return f"SELECT p_partkey, {out} AS skeleton FROM (SELECT p_partkey, lower(replace(p_name, ' ', '')) AS p_name FROM part)"
+
+
+@query("skeleton", _skeleton_sql())
+def _skeleton(spark, d):
+    return _read(spark, d, "part").select("p_partkey", T.skeleton(F.lower(F.replace("p_name", F.lit(" "), F.lit("")))).alias("skeleton"))
+
+
+# comparisons of part names with the next part's name
+
+_PAIRS = "pairs AS (SELECT a.p_partkey AS k, a.p_name AS a, b.p_name AS b, a.p_size AS x, b.p_size AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"
+
+
+def _name_pairs(spark, d):
+    a = _read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a"), F.col("p_size").alias("x"))
+    return a.join(a.select((F.col("k") - 1).alias("k"), F.col("a").alias("b"), F.col("x").alias("y")), "k")
+
+
+@query("token_jaccard", f"""WITH {_PAIRS}, t AS (SELECT k, list_distinct(string_split(a, ' ')) AS a, list_distinct(string_split(b, ' ')) AS b FROM pairs), i AS (SELECT *, len(list_intersect(a, b)) AS n FROM t)
+  SELECT k, round(n / (len(a) + len(b) - n), 6) AS jaccard, round(n / len(a), 6) AS contain_a, round(n / len(b), 6) AS contain_b FROM i""")
+def _jaccard(spark, d):
+    a, b = F.split("a", " "), F.split("b", " ")
+    return _name_pairs(spark, d).select("k", F.round(P.jaccard(a, b), 6).alias("jaccard"), F.round(P.containment(a, b), 6).alias("contain_a"), F.round(P.containment(b, a), 6).alias("contain_b"))
+
+
+@query("sim_levenshtein", f"WITH {_PAIRS} SELECT k, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM pairs")
+def _lev(spark, d):
+    return _name_pairs(spark, d).select("k", F.levenshtein("a", "b").alias("distance"))
+
+
+@query("sim_jaro_winkler", f"WITH {_PAIRS} SELECT k, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM pairs")
+def _jw(spark, d):
+    return _name_pairs(spark, d).select("k", F.round(P.sim_jaro_winkler("a", "b"), 6).alias("similarity"))
+
+
+@query("sim_ratio")
+def _ratio(spark, d):
+    return _name_pairs(spark, d).select("k", F.round(P.sim_ratio("a", "b"), 6).alias("ratio"), F.round(P.sim_token_sort("a", "b"), 6).alias("token_sort"), P.sim_osa("a", "b").alias("osa"))
+
+
+@query("extra_tokens", f"""WITH {_PAIRS}, t AS (SELECT k, string_split(a, ' ') AS a, string_split(b, ' ') AS b FROM pairs)
+  SELECT k, CAST(len(list_filter(a, lambda x: len(list_filter(b, lambda y: levenshtein(x, y) <= 2)) = 0)) AS INTEGER) AS extra FROM t""")
+def _extra(spark, d):
+    return _name_pairs(spark, d).select("k", F.size(P.extra_tokens(F.split("a", " "), F.split("b", " "))).alias("extra"))
+
+
+@query("number_relations", f"""WITH {_PAIRS} SELECT k, CASE WHEN x IS NULL OR y IS NULL THEN 'missing' WHEN x = y THEN 'equal' WHEN x // 10 = y OR x // 100 = y OR y // 10 = x OR y // 100 = x THEN 'truncation' WHEN abs(x - y) <= 10 THEN 'nudge' ELSE 'other' END AS relation FROM pairs""")
+def _numbers(spark, d):
+    return _name_pairs(spark, d).select("k", P.number_relation(F.col("x"), F.col("y")).alias("relation"))
+
+
+# retrieval
+
+@query("idf_block", f"""WITH {_RECORDS}, k AS (SELECT DISTINCT country AS part, eid, unnest({_TOKENS}) AS key FROM records), n AS (SELECT part, count(DISTINCT eid) AS n FROM k GROUP BY part)
+  SELECT part, key, count(*) AS df, round(greatest(ln(any_value(n) / count(*)), 0.01), 6) AS idf FROM k JOIN n USING (part) GROUP BY part, key""")
+def _idf(spark, d):
+    return R.key_weights(keys(spark, d)).withColumn("idf", F.round("idf", 6))
+
+
+def keys(spark, d):
+    return records(spark, d).select(F.col("country").alias("part"), "eid", F.explode(T.name_tokens(F.col("name"))).alias("key")).distinct()
+
+
+def _sides(spark, d):
+    k = keys(spark, d)
+    return k.where("eid % 2 = 0"), k.where("eid % 2 = 1")
+
+
+_TOPK = f"""{_RECORDS}, k AS (SELECT DISTINCT country AS part, eid, unnest({_TOKENS}) AS key FROM records), n AS (SELECT part, count(DISTINCT eid) AS n FROM k GROUP BY part),
+  w AS (SELECT part, key, greatest(ln(any_value(n) / count(*)), 0.01) AS idf FROM k JOIN n USING (part) GROUP BY part, key), kw AS (SELECT * FROM k JOIN w USING (part, key)),
+  norms AS (SELECT part, eid, sqrt(sum(idf)) AS norm FROM kw GROUP BY part, eid)"""
+
+
+def _direction(name: str, q: int, d: int) -> str:
+    return f""", {name}_post AS (SELECT part, key, count(*) AS posting FROM k WHERE eid % 2 = {d} GROUP BY part, key),
+  {name}_all AS (SELECT a.part, a.eid AS q, b.eid AS d, sum(CASE WHEN posting <= 200 THEN a.idf ELSE 0 END) AS partial, sum(a.idf) AS total, max(CASE WHEN posting <= 200 THEN 1 ELSE 0 END) AS seeded
+    FROM kw a JOIN k b USING (part, key) JOIN {name}_post USING (part, key) WHERE a.eid % 2 = {q} AND b.eid % 2 = {d} GROUP BY a.part, a.eid, b.eid),
+  {name}_v AS (SELECT t.*, nq.norm AS nq, nd.norm AS nd, row_number() OVER (PARTITION BY t.part, q ORDER BY round(partial / nd.norm, 9) DESC, d) AS v FROM {name}_all t JOIN norms nq ON nq.part = t.part AND nq.eid = q JOIN norms nd ON nd.part = t.part AND nd.eid = d WHERE seeded = 1),
+  {name}_s AS (SELECT part, q, d, round(total / (nq * nd), 6) AS score FROM {name}_v WHERE v <= 50),
+  {name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY part, q ORDER BY score DESC, d) - 1 AS INTEGER) AS rank FROM {name}_s) WHERE rank < 10)"""
+
+
+@query("topk_overlap", f"WITH {_TOPK}{_direction('f', 0, 1)} SELECT * FROM f")
+def _topk(spark, d):
+    return R.topk_overlap(*_sides(spark, d))
+
+
+_TRIMMED = f"""WITH {_TOPK}{_direction('f', 0, 1)}{_direction('b', 1, 0)},
+  view AS (SELECT coalesce(f.q, b.d) AS s1, coalesce(f.d, b.q) AS r, greatest(f.score, b.score) AS score, coalesce(f.rank, -1) AS rank_s1, coalesce(b.rank, -1) AS rank_r FROM f FULL JOIN b ON f.q = b.d AND f.d = b.q WHERE f.rank < 5 OR b.rank < 2)"""
+
+
+@query("search_view", _TRIMMED + " SELECT * FROM view")
+def _view(spark, d):
+    return R.search_view(*_sides(spark, d))
+
+
+@query("linkage_slice", f"""{_TRIMMED}, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, s1) AS k FROM view) WHERE k = 1 AND score >= 0.3),
+  full_text AS (SELECT doc_id, lower(text) AS t, lang FROM documents), truth AS (SELECT a.doc_id AS s1, b.doc_id AS r FROM full_text a JOIN full_text b ON a.t = b.t WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1),
+  counts AS (SELECT u.doc_id AS s1, (SELECT count(*) FROM truth t WHERE t.s1 = u.doc_id) AS n_true, (SELECT count(*) FROM own m WHERE m.s1 = u.doc_id) AS n_pred, (SELECT count(*) FROM own m JOIN truth t ON m.s1 = t.s1 AND m.r = t.r WHERE m.s1 = u.doc_id) AS n_hit FROM documents u WHERE u.doc_id % 2 = 0)
+  SELECT s1, n_true, n_pred, CAST(n_hit AS BIGINT) AS n_hit, round({_F05}, 6) AS f05 FROM counts""")
+def _slice(spark, d):
+    """Flagship: records, tokens, retrieval both ways, one owner, threshold, F0.5 per entity."""
+    own = G.argmax_owner(R.search_view(*_sides(spark, d)).withColumnRenamed("score", "p")).where("p >= 0.3")
+    whole = _read(spark, d, "documents").select(F.col("doc_id"), F.lower("text").alias("t"))
+    pairs = whole.where("doc_id % 2 = 0").select(F.col("doc_id").alias("s1"), "t").join(whole.where("doc_id % 2 = 1").select(F.col("doc_id").alias("r"), "t"), "t").select("s1", "r")
+    return G.per_entity_f05(whole.where("doc_id % 2 = 0").select(F.col("doc_id").alias("s1")), pairs, own)
+
+
+# the candidate graph
+
+_TOP = "WITH " + _EDGES + ", k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, s1) AS k FROM edges), top AS (SELECT s1, r, p, source, k, max(p) OVER (PARTITION BY r) AS best, coalesce(max(CASE WHEN k = 2 THEN p END) OVER (PARTITION BY r), 0.0) AS second, count(*) OVER (PARTITION BY r) AS size FROM k)"
+_edge_query("group_top2", G.group_top2, _TOP + " SELECT s1, r, p, best, second, size FROM top")
+_edge_query("gaps_and_margin", G.gaps_and_margin, _TOP + " SELECT s1, r, round(max(p) OVER (PARTITION BY s1) - p, 6) AS gap_s1, round(best - p, 6) AS gap_r, round(p - CASE WHEN p >= best THEN second ELSE best END, 6) AS margin FROM top")
+_edge_query("cand_log_counts", G.cand_log_counts, f"WITH {_EDGES} SELECT s1, r, round(ln(1 + count(*) OVER (PARTITION BY s1)), 6) AS log_n_s1, round(ln(1 + count(*) OVER (PARTITION BY r)), 6) AS log_n_r FROM edges")
+_edge_query("record_side_stats", G.record_side_stats, _TOP + " SELECT s1, r, k - 1 AS r_rank, best AS r_best, second AS r_second, CAST(sum(CASE WHEN p > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY r) AS BIGINT) AS r_above_half, round(sum(p) OVER (PARTITION BY r), 6) AS r_sum, round(p / sum(p) OVER (PARTITION BY r), 6) AS r_share, size AS r_n FROM top")
+_edge_query("s1_side_stats", G.s1_side_stats, f"""WITH {_EDGES} SELECT s1, r, row_number() OVER o - 1 AS s_rank, max(p) OVER w AS s_max, round(sum(p) OVER w, 6) AS s_sum, CAST(count(*) FILTER (p > 0.5) OVER w AS BIGINT) AS n50, CAST(count(*) FILTER (p > 0.8) OVER w AS BIGINT) AS n80, CAST(count(*) FILTER (p > 0.95) OVER w AS BIGINT) AS n95,
+  round(coalesce(lag(p) OVER o - p, 0), 6) AS gap_up, round(p - coalesce(lead(p) OVER o, 0), 6) AS gap_down, round(sum(p) OVER (PARTITION BY s1, source) - p, 6) + 0.0 AS same_source, round(sum(p) OVER w - sum(p) OVER (PARTITION BY s1, source), 6) + 0.0 AS other_source, count(*) OVER w AS s_n
+  FROM edges WINDOW w AS (PARTITION BY s1), o AS (PARTITION BY s1 ORDER BY p DESC, r)""")
+_edge_query("contested_records", G.contested_records, f"WITH {_EDGES} SELECT r, count(*) AS n FROM edges WHERE p >= 0.01 GROUP BY r HAVING count(*) >= 2")
+_edge_query("record_mass", G.record_mass, f"WITH {_EDGES} SELECT r, round(sum(p), 6) AS mass, count(*) AS crowd FROM edges GROUP BY r")
+_edge_query("rival_copies", G.rival_copies, _TOP + """, ab AS (SELECT r, max(CASE WHEN k = 1 THEN s1 END) AS s_a, max(CASE WHEN k = 2 THEN s1 END) AS s_b, max(CASE WHEN k = 1 THEN p END) AS p_a, max(CASE WHEN k = 2 THEN p END) AS p_b FROM top GROUP BY r),
+  rows AS (SELECT s1, r, source, CASE WHEN s1 = s_a THEN s_b ELSE s_a END AS rival, CASE WHEN s1 = s_a THEN p_b ELSE p_a END AS rp FROM top JOIN ab USING (r))
+  SELECT s1, r, rival, coalesce(rp, 0) AS rival_p, (SELECT count(*) FROM edges e WHERE e.s1 = rival AND e.source = rows.source AND e.p >= 0.5 AND e.r <> rows.r) AS rival_copies FROM rows""")
+_edge_query("candidate_cut", G.candidate_cut, f"WITH {_EDGES} SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, s1) AS k FROM edges WHERE p >= 0.02) WHERE k <= 2")
+_edge_query("argmax_owner", G.argmax_owner, f"WITH {_OWNED} SELECT * FROM owned")
+_edge_query("threshold", lambda e: e.where("p >= 0.3"), f"WITH {_MATCHES} SELECT * FROM matches", owned)
+_RANKED = f"WITH {_OWNED}, k AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, r) - 1 AS k FROM owned)"
+_edge_query("own_rank", G.own_rank, _RANKED + " SELECT * FROM k", owned)
+_edge_query("rank_threshold", G.rank_threshold, _RANKED + ", b AS (SELECT *, max(p) OVER (PARTITION BY s1) AS best FROM k) SELECT * EXCLUDE (k, best) FROM b WHERE best > 0.55 AND (k = 0 OR p > 0.4)", owned)
+_edge_query("greedy_breakeven", G.greedy_breakeven, _RANKED + " SELECT * EXCLUDE (k) FROM k WHERE p > (5 * k + 1) / (6.25 * k + 2)", owned)
+_edge_query("greedy_first", lambda e: G.greedy_breakeven(e, 0.6), _RANKED + " SELECT * EXCLUDE (k) FROM k WHERE p > CASE WHEN k = 0 THEN 0.6 ELSE (5 * k + 1) / (6.25 * k + 2) END", owned)
+_edge_query("crowd_shift", G.crowd_shift, f"WITH {_EDGES}, n AS (SELECT *, 0.2 - CASE WHEN count(*) OVER (PARTITION BY r) >= 4 THEN 0.3 ELSE 0 END AS b FROM edges) SELECT s1, r, round(1 / (1 + exp(-(ln(p / (1 - p)) + b::DOUBLE))), 6) AS p_shifted FROM n")
+_edge_query("contested_threshold", G.contested_threshold, _TOP + ", n AS (SELECT *, count(*) FILTER (p >= 0.3) OVER (PARTITION BY r) AS n FROM top) SELECT s1, r, p FROM n WHERE k = 1 AND p > CASE WHEN n >= 2 THEN 0.7 ELSE 0.4 END")
+_edge_query("rule_mass", G.rule_mass, f"WITH {_EDGES}, s AS (SELECT s1, r, round(p / greatest(1.0::DOUBLE, sum(p) OVER (PARTITION BY r)), 6) AS share FROM edges) SELECT * FROM s WHERE share > 0.3")
+_edge_query("rule_cap", G.rule_cap, f"WITH {_MATCHES}, a AS (SELECT *, row_number() OVER (PARTITION BY s1, source ORDER BY p DESC, r) AS k FROM matches), b AS (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY s1 ORDER BY p DESC, r) AS j FROM a WHERE k <= 2) SELECT s1, r, p, source FROM b WHERE j <= 3", matches)
+_edge_query("rule_soft_trim", G.rule_soft_trim, f"WITH {_MATCHES}, n AS (SELECT *, count(*) OVER (PARTITION BY s1) AS n FROM matches) SELECT s1, r FROM n WHERE n < 4 OR p >= 0.6", matches)
+_edge_query("rule_singleton", G.rule_singleton, f"WITH {_MATCHES}, n AS (SELECT *, count(*) OVER (PARTITION BY s1) AS n FROM matches) SELECT s1, r FROM n WHERE n > 1 OR p > 0.8", matches)
+_edge_query("reliability_table", G.reliability_table, f"WITH {_EDGES} SELECT CAST(least(floor(p * 15), 14) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM edges GROUP BY 1")
+_edge_query("rank_auc", G.rank_auc, f"WITH {_EDGES} SELECT round(CAST(sum(a.pos * (b.below + a.neg / 2.0)) AS DOUBLE) / (SELECT sum(y) * sum(1 - y) FROM edges), 6) AS auc FROM (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM edges GROUP BY p) a JOIN (SELECT p, coalesce(sum(n) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT p, sum(1 - y) AS n FROM edges GROUP BY p)) b USING (p)")
+
+
+@query("rule_crowded", f"WITH {_MATCHES} SELECT s1, r, p, y, source FROM matches m WHERE NOT (p <= 0.75 AND (SELECT count(*) FROM edges e WHERE e.r = m.r) >= 4)")
+def _crowded(spark, d):
+    return G.rule_crowded(matches(spark, d), edges(spark, d)).select("s1", "r", "p", "y", "source")
+
+
+_STRICT = _OWNED + ", matches AS (SELECT * FROM owned WHERE p >= 0.9)"
+
+
+@query("rule_best_of_empty", f"""WITH {_STRICT}, free AS (SELECT * FROM edges WHERE p > 0.3 AND s1 NOT IN (SELECT s1 FROM matches) AND r NOT IN (SELECT r FROM matches)), a AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, s1) AS k FROM free), b AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, r) AS j FROM a WHERE k = 1)
+  SELECT s1, r FROM matches UNION ALL SELECT s1, r FROM b WHERE j = 1""")
+def _empty(spark, d):
+    return G.rule_best_of_empty(owned(spark, d).where("p >= 0.9"), edges(spark, d))
+
+
+@query("rule_missing_source", f"""WITH {_STRICT}, have AS (SELECT s1, min(source) AS a, max(source) AS b FROM matches GROUP BY s1), free AS (SELECT e.*, row_number() OVER (PARTITION BY e.s1 ORDER BY p DESC, r) AS k FROM edges e JOIN have h ON e.s1 = h.s1 AND h.a = h.b AND e.source = 5 - h.a WHERE p >= 0.5 AND r NOT IN (SELECT r FROM matches))
+  SELECT s1, r FROM free WHERE k = 1""")
+def _missing(spark, d):
+    return G.rule_missing_source(owned(spark, d).where("p >= 0.9"), edges(spark, d))
+
+
+_VOTES = "votes AS (SELECT 1 AS voter, s1, r FROM edges WHERE p >= 0.5 UNION ALL SELECT 2, s1, r FROM edges WHERE y = 1 UNION ALL SELECT 3, s1, r FROM owned)"
+
+
+@query("consensus_edit", f"WITH {_OWNED}, {_VOTES}, c AS (SELECT s1, r, count(*) AS n FROM votes GROUP BY s1, r HAVING count(*) >= 2) SELECT s1, r, n FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, s1) AS k FROM c) WHERE k = 1")
+def _consensus(spark, d):
+    e = edges(spark, d)
+    voters = [e.where("p >= 0.5"), e.where("y = 1"), owned(spark, d)]
+    rows = [v.select(F.lit(k).alias("voter"), "s1", "r") for k, v in enumerate(voters)]
+    return G.consensus(rows[0].unionByName(rows[1]).unionByName(rows[2]), 2)
+
+
+@query("diff_matches", f"WITH {_OWNED}, a AS (SELECT s1, r FROM owned WHERE p >= 0.3), b AS (SELECT s1, r FROM edges WHERE y = 1) SELECT coalesce(a.s1, b.s1) AS s1, coalesce(a.r, b.r) AS r, CASE WHEN a.s1 IS NULL THEN 'added' WHEN b.s1 IS NULL THEN 'removed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.s1 = b.s1 AND a.r = b.r")
+def _diff(spark, d):
+    return G.diff_matches(matches(spark, d), truth(spark, d))
+
+
+@query("audit", f"""WITH {_EDGES}, m AS (SELECT s1, r FROM edges WHERE y = 1) SELECT 'repeated' AS "check", 0::BIGINT AS n UNION ALL SELECT 'two_owners', count(*) FROM (SELECT r FROM m GROUP BY r HAVING count(DISTINCT s1) > 1)
+  UNION ALL SELECT 'no_candidate', count(*) FROM m JOIN edges USING (s1, r) WHERE p < 0.02 UNION ALL SELECT 'unknown', count(*) FROM m WHERE s1 NOT IN (SELECT o_orderkey FROM orders)""")
+def _audit(spark, d):
+    return G.audit(truth(spark, d), edges(spark, d).where("p >= 0.02").select("s1", "r"), universe(spark, d).select("s1"))
+
+
+@query("per_entity_f05", f"WITH {_ENTITY} SELECT s1, n_true, n_pred, CAST(n_hit AS BIGINT) AS n_hit, f05 FROM scored")
+def _entity(spark, d):
+    return scored(spark, d)
+
+
+@query("report", f"WITH {_ENTITY} SELECT 'all' AS grp, count(*) AS n, round(avg(f05), 6) AS macro_f05 FROM scored UNION ALL SELECT grp, count(*), round(avg(f05), 6) FROM scored GROUP BY grp")
+def _report(spark, d):
+    return G.report(scored(spark, d), universe(spark, d))
+
+
+@query("tune_threshold", f"""WITH {_OWNED}, {_UNIVERSE}, grid AS (SELECT CAST(unnest({GRID}) AS DOUBLE) AS t), nt AS (SELECT u.s1, count(t.r) AS n_true FROM universe u LEFT JOIN truth t USING (s1) GROUP BY u.s1),
+  np AS (SELECT t, o.s1, count(*) AS n_pred, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS n_hit FROM grid JOIN owned o ON p >= t GROUP BY t, o.s1), c AS (SELECT grid.t, nt.s1, n_true, coalesce(n_pred, 0) AS n_pred, coalesce(n_hit, 0) AS n_hit FROM grid CROSS JOIN nt LEFT JOIN np ON np.t = grid.t AND np.s1 = nt.s1)
+  SELECT t, round(avg({_F05}), 6) AS macro_f05 FROM c GROUP BY t""")
+def _tune(spark, d):
+    return G.tune_threshold(universe(spark, d), truth(spark, d), owned(spark, d), GRID)
+
+
+@query("pair_recall", f"WITH {_EDGES} SELECT sum(y)::BIGINT AS n_true, count(*) FILTER (y = 1 AND p >= 0.3) AS n_found, round(count(*) FILTER (y = 1 AND p >= 0.3) / sum(y), 6) AS recall FROM edges")
+def _recall(spark, d):
+    return G.pair_recall(truth(spark, d), edges(spark, d).where("p >= 0.3"))
+
+
+@query("loss_buckets", f"""WITH {_MATCHES}, t AS (SELECT s1, r FROM edges WHERE y = 1), cut AS (SELECT * FROM edges WHERE p >= 0.1) SELECT bucket, count(*) AS n FROM (
+  SELECT CASE WHEN r IN (SELECT r FROM t) THEN 'fp_elsewhere' ELSE 'fp_orphan' END AS bucket FROM matches m WHERE y = 0
+  UNION ALL SELECT CASE WHEN p < 0.1 THEN 'fn_no_candidate' WHEN (s1, r) NOT IN (SELECT (s1, r) FROM owned) THEN 'fn_lost' ELSE 'fn_below' END FROM edges WHERE y = 1 AND (s1, r) NOT IN (SELECT (s1, r) FROM matches)) GROUP BY bucket""")
+def _loss(spark, d):
+    return G.loss_buckets(truth(spark, d), edges(spark, d).where("p >= 0.1"), owned(spark, d), matches(spark, d))
+
+
+@query("prediction_diagnostics", f"WITH {_ENTITY} SELECT grp, count(*) AS entities, CAST(sum(n_pred) AS BIGINT) AS pairs, round(avg(n_pred), 6) AS per_entity, round(avg(CASE WHEN n_pred = 0 THEN 1 ELSE 0 END), 6) AS empty_share FROM scored GROUP BY grp")
+def _diagnostics(spark, d):
+    return G.prediction_diagnostics(universe(spark, d), matches(spark, d), universe(spark, d))
+
+
+@query("expected_f")
+def _expected(spark, d):
+    """Best prefix of each entity's owned pairs under expected F0.5."""
+    pairs = owned(spark, d).groupBy("s1").agg(F.sort_array(F.collect_list("p"), asc=False).alias("p"))
+    return pairs.select("s1", P.expected_f_size("p").alias("kept"), F.size("p").alias("owned"))
