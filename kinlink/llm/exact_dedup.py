@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,16 @@ def fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     text = without_blanks(F.col("text"))
     return docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), sha256(text).alias("text_sha256"),
-        F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.input_file_name().alias("locator"))
+        F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), _locator(docs).alias("locator"))
+
+
+def _locator(docs: DataFrame) -> Column:
+    """The file of a row; for rows of joined tables, which have no one file, their identifier."""
+    try:
+        docs.select(F.input_file_name())
+        return F.input_file_name()
+    except AnalysisException:
+        return F.col("doc_id").cast("string")
 
 
 def retained(prints: DataFrame) -> DataFrame:
