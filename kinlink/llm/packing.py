@@ -34,8 +34,8 @@ OPEN_BINS = 1024
 #: Open bins that one task of a later round takes.
 BINS_PER_TASK = 20_000
 #: Words, and letter runs, whose ids a worker remembers.
-REMEMBERED = 800_000
-REMEMBERED_RUNS = 1_200_000
+REMEMBERED = 550_000
+REMEMBERED_RUNS = 700_000
 _BLANKS = re.compile("[\t\n\x0b\x0c\r ]+")
 #: Blank to Python, but not to the vocabulary.
 _SEPARATOR = re.compile("[\x1c-\x1f]")
