@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,21 @@ def test_trie():
     assert set(jaccard_join.Trie(list(range(len(sets))), sets).linked(pivot, step=4)) == want
 
 
+def test_open_pairs_in_parts():
+    """Parts of a group together find what one task would."""
+    rng, n = np.random.default_rng(3), 60
+    sets = [rng.choice(40, 30, replace=False) for _ in range(n)]
+    maps = [np.packbits(np.isin(np.arange(256), s)).tobytes() for s in sets]
+    columns = {"nodes": np.arange(n).tobytes(), "sizes": np.full(n, 30).tobytes(), "comps": (np.arange(n) % 7).tobytes(), "maps": maps}
+
+    def pairs(parts):
+        batch = pa.RecordBatch.from_pylist([columns | {"part": k, "parts": parts} for k in range(parts)])
+        return sorted(tuple(r.values()) for b in jaccard_join._open_pairs([batch]) for r in b.to_pylist())
+
+    expected = [(i, j) for i in range(n) for j in range(i + 1, n) if i % 7 != j % 7 and len(np.intersect1d(sets[i], sets[j])) >= jaccard_join.overlap(30, 30)]
+    assert expected and pairs(1) == pairs(4) == expected
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)]
