@@ -4,15 +4,15 @@ Counting.  Word and word-pair counts of the training texts are gathered exactly,
 counts summed in each task before they are sent.
 Filter.  A count c has level ``1 + floor(log2 c)``; an n-gram is inserted once for each level up to its
 own, so a count is read back by probing level after level until a miss.  Words of any count and pairs
-seen at least ``MIN_PAIR`` times are held.  Each bucket builds its own segment; the segments together
-are at most ``filter_bytes`` and are broadcast.
+seen at least ``MIN_PAIR`` times are held.  Each bucket builds its own segment of ``BITS_PER_INSERTION``
+bits for every insertion it counted, so the filter grows with the input and reads err equally often at
+any size.  No task and not the driver holds more than one segment.
 Scoring.  ``p(w|v) = MIX * c(vw)/c(v) + (1-MIX) * (c(w)+0.5)/(N+0.5(V+1))`` with the counts read from
-the filter.  The base score uses exact counts: words that make up at least one in ``2**HOT`` of the
-tokens (so at most ``2**HOT`` of them) are broadcast, all other words are sent to their bucket, and
-the partial sums come back by batch of documents.
+the filter; the base score uses exact word counts.  Documents are taken in units of about ``UNIT``
+tokens.  The distinct words and pairs of a unit are sent to their buckets, and what these hold comes back
+to the unit, where the scores of its documents are summed.
 
-With more insertions than the filter has room for, bits per insertion fall and reads err upwards more
-often; no n-gram is left out.  Words are told apart by 48 bits of hash and those that choose the bucket.
+Words are told apart by 48 bits of hash and those that choose the bucket.
 
 Defined results.  Null and empty texts are the end token alone.  Without training rows N = V = 0 and
 the base is log10(1) a token.  Rows without doc_id are left out; repeated rows count and are scored
@@ -35,14 +35,14 @@ from .shared import buckets, documents, fold, small_batches, stored
 MIN_PAIR = 2
 PROBES = 3
 BITS_PER_INSERTION = 10
-FILTER_BYTES = 64 << 20
-HOT = 19
 MIX = 0.5
 END = K.U64(0x5EED0E7D00000001)
 START = K.U64(0x5EED57A7000000F1)
 LOW = K.U64((1 << 48) - 1)
 #: n-grams that one task sums before it sends them.
 HELD = 1_000_000
+#: Tokens that are scored together; a longer text has a unit of its own.
+UNIT = 1_000_000
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def _received(rows: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return _summed(keys, counts)
 
 
-_COUNTS = "bucket int, n long, v long, insertions long, words binary, word_counts binary, pairs binary, pair_levels binary"
+_COUNTS = "bucket int, n long, v long, insertions long, words binary, word_counts binary, most int, bits binary"
 
 
 def _counts(rows: pa.Table) -> pa.Table:
@@ -128,9 +128,11 @@ def _counts(rows: pa.Table) -> pa.Table:
     words, n = _received(rows, 1)
     pairs, m = _received(rows, 2)
     pairs, m = pairs[m >= MIN_PAIR], m[m >= MIN_PAIR]
-    top = level(m)
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": [int(n.sum())], "v": [len(words)], "insertions": [int(level(n).sum() + top.sum())], "words": pa.array([K.pack(words, 6)], pa.binary()), "word_counts": pa.array([n.astype("<i8").tobytes()], pa.binary()),
-                     "pairs": pa.array([K.pack(pairs, 6)], pa.binary()), "pair_levels": pa.array([top.astype(np.uint8).tobytes()], pa.binary())})
+    kinds = [(1, words, level(n)), (2, pairs, level(m))]
+    insertions, most = sum(int(k[2].sum()) for k in kinds), max(int(k[2].max(initial=0)) for k in kinds)
+    bits = LogFrequencySegment.built(kinds, BITS_PER_INSERTION * insertions)
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": [int(n.sum())], "v": [len(words)], "insertions": [insertions], "words": pa.array([K.pack(words, 6)], pa.binary()), "word_counts": pa.array([n.astype("<i8").tobytes()], pa.binary()),
+                     "most": pa.array([most], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -142,186 +144,155 @@ def level(count: np.ndarray) -> np.ndarray:
 MEANING = np.concatenate([[0.0, 1.0], 2.0 ** (np.arange(2, 64) - 0.5)])
 
 
-class LogFrequencyFilter:
-    """Segments of one bit array; a segment is chosen by the key's bucket."""
+class LogFrequencySegment:
+    """The filter's bits of one bucket."""
 
-    def __init__(self, segments: list[np.ndarray], most: int):
-        self.n, self.most = len(segments), most
-        self.base = np.concatenate([[0], np.cumsum([len(s) for s in segments])])
-        self.bits = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
+    def __init__(self, bits: np.ndarray, size: int, most: int):
+        self.bits, self.size, self.most = bits, size, most
 
     @staticmethod
-    def places(keys: np.ndarray, kind: int, lev: int, probe: int, size: np.ndarray | int) -> np.ndarray:
+    def places(keys: np.ndarray, kind: int, lev: int, probe: int, size: int) -> np.ndarray:
         h = K.mix(keys + K.U64(kind << 60 | lev << 52 | probe << 49))
-        return ((h >> K.U64(32)) * np.asarray(size).astype(K.U64) >> K.U64(32)).astype(np.int64)
+        return ((h >> K.U64(32)) * K.U64(size) >> K.U64(32)).astype(np.int64)
 
     @staticmethod
-    def segment(kinds: list[tuple[int, np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    def built(kinds: list[tuple[int, np.ndarray, np.ndarray]], size: int) -> np.ndarray:
         """Bytes of a segment of ``size`` bits that holds (kind, 48-bit keys, levels)."""
         bits = np.zeros(size, bool)
         for kind, keys, levels in kinds:
             for lev in range(1, int(levels.max(initial=0)) + 1):
                 own = keys[levels >= lev]
                 for probe in range(PROBES):
-                    bits[LogFrequencyFilter.places(own, kind, lev, probe, size)] = True
+                    bits[LogFrequencySegment.places(own, kind, lev, probe, size)] = True
         return np.packbits(bits, bitorder="little")
 
-    def levels(self, hashes: np.ndarray, kind: int) -> np.ndarray:
-        out = np.zeros(len(hashes), np.int64)
-        if not len(self.bits):
-            return out
-        bucket, keys, live = bucket_of(hashes, self.n), hashes & LOW, np.arange(len(hashes))
-        base, size = self.base[bucket] * 8, (self.base[bucket + 1] - self.base[bucket]) * 8
+    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        out, live = np.zeros(len(keys), np.uint8), np.arange(len(keys) if self.size else 0)
         for lev in range(1, self.most + 1):
             for probe in range(PROBES):
                 if not len(live):
                     return out
-                at = base[live] + self.places(keys[live], kind, lev, probe, size[live])
-                hit = size[live] > 0
-                at[~hit] = 0
-                live = live[hit & ((self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1)]
+                at = self.places(keys[live], kind, lev, probe, self.size)
+                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1]
             out[live] = lev
         return out
 
 
 class Model:
-    """What scoring needs: the filter, N, V, training documents, and the exact counts of frequent words."""
+    """What scoring needs besides the counts: N, V, training documents, buckets."""
 
-    def __init__(self, filter: LogFrequencyFilter, n: int, v: int, docs: int, hot: np.ndarray, hot_counts: np.ndarray, buckets: int):
-        self.filter, self.n, self.v, self.docs, self.buckets = filter, n, v, docs, buckets
-        self.hot, self.hot_counts, self.room = hot, hot_counts, n + 0.5 * (v + 1)
+    def __init__(self, n: int, v: int, docs: int, buckets: int):
+        self.n, self.v, self.docs, self.buckets, self.room = n, v, docs, buckets, n + 0.5 * (v + 1)
 
-    def token_scores(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, from probes alone."""
-        pairs, _ = pair_hashes(tokens, begins)
-        values, back = np.unique(tokens, return_inverse=True)
-        word = MEANING[self.filter.levels(values, 1)][back]
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[begins[:-1]] = max(self.docs, 1)
-        both = np.minimum(MEANING[self.filter.levels(pairs, 2)], before)
-        seen = np.divide(both, before, out=np.zeros_like(both), where=before > 0)
-        return np.log10(MIX * seen + (1 - MIX) * (word + 0.5) / self.room)
 
-
-def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame]:
-    """(model, exact word counts by bucket) from the texts of ``docs``."""
-    spark, n = docs.sparkSession, buckets(docs)
-    small_batches(spark)
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """(model, exact word counts and filter segments by bucket) from the texts of ``docs``."""
+    n = buckets(docs)
+    small_batches(docs.sparkSession)
     counts = stored(docs.select("text").mapInArrow(_grams(n), _GRAMS).groupBy("bucket").applyInArrow(_counts, _COUNTS))
-    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "insertions"))).first()
-    room = min(BITS_PER_INSERTION, 8 * filter_bytes / max(1, total["insertions"]))
-    least = max(2, -(-total["n"] >> HOT))
+    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v"))).first()
+    return Model(total["n"], total["v"], docs.count(), n), counts
 
-    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, c = K.unpack(row["words"], 6), np.frombuffer(row["word_counts"], "<i8")
-                kinds = [(1, words, level(c)), (2, K.unpack(row["pairs"], 6), np.frombuffer(row["pair_levels"], np.uint8).astype(np.int64))]
-                size = 8 * max(1, int(row["insertions"] * room / 8))
-                yield pa.record_batch([pa.array([row["bucket"]], pa.int32()), pa.array([LogFrequencyFilter.segment(kinds, size).tobytes()], pa.binary()), pa.array([K.pack(words[c >= least], 6)], pa.binary()), pa.array([c[c >= least].tobytes()], pa.binary()), pa.array([int(max(k[2].max(initial=0) for k in kinds))], pa.int32())], ["bucket", "bits", "hot", "hot_counts", "most"])
-
-    segments, hot, hot_counts, most = [np.zeros(0, np.uint8)] * n, [np.zeros(0, K.U64)], [np.zeros(0, np.int64)], 0
-    for row in counts.select("bucket", "insertions", "words", "word_counts", "pairs", "pair_levels").mapInArrow(built, "bucket int, bits binary, hot binary, hot_counts binary, most int").toLocalIterator():
-        segments[row["bucket"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
-        keys = K.unpack(bytes(row["hot"]), 6)
-        hot.append(keys)
-        hot_counts.append(np.frombuffer(bytes(row["hot_counts"]), "<i8"))
-        most = max(most, row["most"])
-    keys, values = np.concatenate(hot), np.concatenate(hot_counts)
-    order = np.argsort(keys, kind="stable")
-    return Model(LogFrequencyFilter(segments, most), total["n"], total["v"], docs.count(), keys[order], values[order], n), counts
-
-
-_PARTS = "batch long, bucket int, at binary, keys binary, tf binary, base binary"
+
+_PARTS = "batch long, bucket int, kind int, keys binary, ids binary, begins binary, at binary"
+_FOUND = "batch long, bucket int, kind int, keys binary, ids binary, begins binary, at binary, levels binary, counts binary"
 _SCORES = "doc_id long, n_tokens long, n_known long, known_score double, score double"
 
 
-def _parts(model):
-    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("at", pa.binary()), ("keys", pa.binary()), ("tf", pa.binary()), ("base", pa.binary())])
+def _schema(columns: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
+
+
+def _units(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, token hashes, where each document begins) of runs of rows with about ``UNIT`` tokens."""
+    held, first, size = [], 0, 0
+    for _, b, data, offsets in K.chunks(column):
+        tokens, begins = token_hashes(data, offsets)
+        held.append((tokens, begins[:-1] + size))
+        size += len(tokens)
+        if size >= UNIT or b == len(column):
+            yield first, b, np.concatenate([t for t, _ in held]), np.append(np.concatenate([x for _, x in held]), size)
+            held, first, size = [], b, 0
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, number = model.value, TaskContext.get().partitionId() << 32
+
+def _parts(n: int):
+    schema = _schema(_PARTS)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            at, keys, tf, base = [], [], [], []
-            for a, b, data, offsets in K.chunks(batch.column("text")):
-                tokens, begins = token_hashes(data, offsets)
-                doc = np.repeat(np.arange(a, b), np.diff(begins))
-                low = tokens & LOW
-                place = np.minimum(np.searchsorted(m.hot, low), max(0, len(m.hot) - 1))
-                hot = m.hot[place] == low if len(m.hot) else np.zeros(len(low), bool)
-                known = np.bincount(doc[hot] - a, minlength=b - a)
-                part = np.bincount(doc[hot] - a, np.log10(m.hot_counts[place[hot]] + 0.5), b - a)
-                total = np.add.reduceat(m.token_scores(tokens, begins), begins[:-1])
-                base.append(np.stack([np.diff(begins), known, part, total]))
-                d, k = doc[~hot], tokens[~hot]
-                order = np.lexsort((k, d))
-                d, k = d[order], k[order]
-                first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])) if len(k) else np.zeros(0, np.int64)
-                at.append(d[first])
-                keys.append(k[first])
-                tf.append(np.diff(np.append(first, len(k))))
-            if not base:
-                continue
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8")
-            rows = [(number, -1 - number % m.buckets, ids.tobytes(), b"", b"", np.concatenate(base, 1).astype("<f8").tobytes())]
-            at, keys, tf = np.concatenate(at), np.concatenate(keys), np.concatenate(tf)
-            order, cut = K.split_by(bucket_of(keys, m.buckets), m.buckets)
-            for k in range(m.buckets):
-                own = order[cut[k] : cut[k + 1]]
-                if len(own):
-                    rows.append((number, k, at[own].astype("<u4").tobytes(), K.pack(keys[own], 6), tf[own].astype("<u4").tobytes(), b""))
-            number += 1
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-    return scored
+            for a, b, tokens, begins in _units(batch.column("text")):
+                words, at = np.unique(tokens, return_inverse=True)
+                place = -1 - int(K.mix(np.array([number], K.U64))[0] % K.U64(n))
+                rows = [(number, place, 0, words.astype("<u8").tobytes(), ids[a:b].tobytes(), begins.astype("<i8").tobytes(), at.astype(_index(len(words))).tobytes())]
+                for kind, keys in ((1, words), (2, np.unique(pair_hashes(tokens, begins)[0]))):
+                    cut = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))  # sorted keys are sorted by bucket
+                    rows += [(number, k, kind, K.pack(keys[cut[k] : cut[k + 1]], 6), b"", b"", b"") for k in np.flatnonzero(np.diff(cut)).tolist()]
+                number += 1
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    return dealt
+
+
+def _index(n: int) -> str:
+    return "<u2" if n <= 1 << 16 else "<u4"
 
 
 def _looked_up(parts: pa.Table, counts: pa.Table) -> pa.Table:
-    """Sums of log10(c + 0.5) and of known tokens of one bucket, by batch; base rows pass through."""
-    words = K.unpack(counts.column("words")[0].as_py(), 6) if len(counts) else np.zeros(0, K.U64)
-    values = np.frombuffer(counts.column("word_counts")[0].as_py(), "<i8") if len(counts) else np.zeros(0, np.int64)
-    out: list[tuple] = []
+    """Levels of the words and pairs of one bucket and exact counts of its words, in place of the keys; other rows pass through."""
+    own = (counts.to_pylist() or [{"words": b"", "word_counts": b"", "bits": b"", "insertions": 0, "most": 0}])[0]
+    words, values = K.unpack(own["words"], 6), np.frombuffer(own["word_counts"], "<i8")
+    segment = LogFrequencySegment(np.frombuffer(own["bits"], np.uint8), BITS_PER_INSERTION * own["insertions"], own["most"])
+    out = []
     for row in parts.to_pylist():
-        if row["base"]:
-            out.append((row["batch"], row["at"], row["base"], b""))
-            continue
-        keys, tf = K.unpack(row["keys"], 6), np.frombuffer(row["tf"], "<u4").astype(np.int64)
-        place = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1))
-        c = np.where(words[place] == keys, values[place], 0) if len(words) else np.zeros(len(keys), np.int64)
-        at = np.frombuffer(row["at"], "<u4").astype(np.int64)
-        docs, back = np.unique(at, return_inverse=True)
-        sums = np.stack([np.bincount(back, tf * (c > 0)), np.bincount(back, tf * np.log10(c + 0.5))])
-        out.append((row["batch"], docs.astype("<u4").tobytes(), b"", sums.astype("<f8").tobytes()))
-    columns = list(zip(*out)) or [(), (), (), ()]
-    return pa.table({"batch": pa.array(columns[0], pa.int64()), "at": pa.array(columns[1], pa.binary()), "base": pa.array(columns[2], pa.binary()), "sums": pa.array(columns[3], pa.binary())})
-
-
-def _joined(rows: pa.Table) -> pa.Table:
-    """One batch of documents put together again."""
-    own = rows.to_pylist()
-    first = next(r for r in own if r["base"])
-    ids = np.frombuffer(first["at"], "<i8")
-    total = np.frombuffer(first["base"], "<f8").reshape(4, -1).copy()
-    for r in own:
-        if r["sums"]:
-            total[1:3, np.frombuffer(r["at"], "<u4").astype(np.int64)] += np.frombuffer(r["sums"], "<f8").reshape(2, -1)
-    return pa.table({"doc_id": pa.array(ids), "n_tokens": total[0].astype(np.int64), "n_known": np.rint(total[1]).astype(np.int64), "known_score": total[2], "score": total[3]})
+        row |= {"levels": b"", "counts": b""}
+        if row["kind"]:
+            keys = K.unpack(row["keys"], 6)
+            row |= {"keys": b"", "levels": segment.levels(keys, row["kind"]).tobytes()}
+            if row["kind"] == 1:
+                place = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1))
+                c = np.where(words[place] == keys, values[place], 0) if len(words) else np.zeros(len(keys), np.int64)
+                row["counts"] = c.astype("<i8").tobytes()
+        out.append(row)
+    return pa.Table.from_pylist(out, _schema(_FOUND))
+
+
+def _joined(docs: int, room: float):
+    def joined(rows: pa.Table) -> pa.Table:
+        """Scores of the documents of one unit."""
+        own = sorted(rows.to_pylist(), key=lambda r: r["bucket"])
+        first = next(r for r in own if not r["kind"])
+        found = lambda kind, c, dtype: np.concatenate([np.frombuffer(r[c], dtype) for r in own if r["kind"] == kind])
+        words, begins = np.frombuffer(first["keys"], "<u8").astype(K.U64), np.frombuffer(first["begins"], "<i8")
+        at = np.frombuffer(first["at"], _index(len(words)))
+        count, word = found(1, "counts", "<i8"), MEANING[found(1, "levels", np.uint8)][at]
+        back = np.unique(pair_hashes(words[at], begins)[0], return_inverse=True)[1]
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[begins[:-1]] = max(docs, 1)
+        both = np.minimum(MEANING[found(2, "levels", np.uint8)][back], before)
+        seen = np.divide(both, before, out=np.zeros_like(both), where=before > 0)
+        score = np.log10(MIX * seen + (1 - MIX) * (word + 0.5) / room)
+        known, base, score = (np.add.reduceat(x, begins[:-1]) for x in ((count > 0).astype(np.int64)[at], np.log10(count + 0.5)[at], score))
+        return pa.table({"doc_id": pa.array(np.frombuffer(first["ids"], "<i8")), "n_tokens": np.diff(begins), "n_known": known, "known_score": base, "score": score})
+    return joined
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of ``docs``."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_parts(shared), _PARTS)
-    sums = parts.groupBy("bucket").cogroup(counts.select("bucket", "words", "word_counts").groupBy("bucket")).applyInArrow(_looked_up, "batch long, at binary, base binary, sums binary")
-    rows = sums.groupBy("batch").applyInArrow(_joined, _SCORES)
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_parts(model.buckets), _PARTS)
+    held = counts.select("bucket", "insertions", "words", "word_counts", "most", "bits").groupBy("bucket")
+    found = parts.groupBy("bucket").cogroup(held).applyInArrow(_looked_up, _FOUND)
+    rows = found.groupBy("batch").applyInArrow(_joined(model.docs, model.room), _SCORES)
     return rows.select("doc_id", "n_tokens", "n_known", (F.col("known_score") - F.col("n_tokens") * F.lit(float(np.log10(model.room)))).alias("base_score"), "score")
 
 
-def lm_scores(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame) -> DataFrame:
     """Train on documents whose fold of 5 is not 1, score all."""
     docs = docs.where(F.col("doc_id").isNotNull())
-    model, counts = train(docs.where(fold(F.col("doc_id"), 5) != 1), filter_bytes)
+    model, counts = train(docs.where(fold(F.col("doc_id"), 5) != 1))
     return score(docs, model, counts).select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
