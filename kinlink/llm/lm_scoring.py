@@ -3,8 +3,8 @@
 Counting.  Word and word-pair counts of the training texts are gathered exactly, by hash bucket, with
 counts summed in each task before they are sent.
 Filter.  A count c has level ``1 + floor(log2 c)``; an n-gram is inserted once for each level up to its
-own, so a count is read back by probing level after level until a miss.  Words of any count and pairs
-seen at least ``MIN_PAIR`` times are held.  Each bucket builds its own segment of ``BITS_PER_INSERTION``
+own, so a count is read back by probing level after level until a miss.  Words and
+pairs of any count are held.  Each bucket builds its own segment of ``BITS_PER_INSERTION``
 bits for every insertion it counted, so the filter grows with the input and reads err equally often at
 any size.  No task and not the driver holds more than one segment.
 Scoring.  ``p(w|v) = MIX * c(vw)/c(v) + (1-MIX) * (c(w)+0.5)/(N+0.5(V+1))`` with the counts read from
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import buckets, documents, fold, small_batches, stored
 
-MIN_PAIR = 2
 PROBES = 3
 BITS_PER_INSERTION = 10
 MIX = 0.5
@@ -127,7 +126,6 @@ def _counts(rows: pa.Table) -> pa.Table:
     bucket = rows.column("bucket")[0].as_py()
     words, n = _received(rows, 1)
     pairs, m = _received(rows, 2)
-    pairs, m = pairs[m >= MIN_PAIR], m[m >= MIN_PAIR]
     kinds = [(1, words, level(n)), (2, pairs, level(m))]
     insertions, most = sum(int(k[2].sum()) for k in kinds), max(int(k[2].max(initial=0)) for k in kinds)
     bits = LogFrequencySegment.built(kinds, BITS_PER_INSERTION * insertions)
@@ -224,9 +222,12 @@ def _parts(n: int):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8")
             for a, b, tokens, begins in _units(batch.column("text")):
-                words, at = np.unique(tokens, return_inverse=True)
+                words, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
                 place = -1 - int(K.mix(np.array([number], K.U64))[0] % K.U64(n))
-                rows = [(number, place, 0, words.astype("<u8").tobytes(), ids[a:b].tobytes(), begins.astype("<i8").tobytes(), at.astype(_index(len(words))).tobytes())]
+                rows = [(number, place, 0, words[order].astype("<u8").tobytes(), ids[a:b].tobytes(), begins.astype("<i8").tobytes(), _packed(rank[at]))]
                 for kind, keys in ((1, words), (2, np.unique(pair_hashes(tokens, begins)[0]))):
                     cut = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))  # sorted keys are sorted by bucket
                     rows += [(number, k, kind, K.pack(keys[cut[k] : cut[k + 1]], 6), b"", b"", b"") for k in np.flatnonzero(np.diff(cut)).tolist()]
@@ -235,8 +236,14 @@ def _parts(n: int):
     return dealt
 
 
-def _index(n: int) -> str:
-    return "<u2" if n <= 1 << 16 else "<u4"
+def _packed(at: np.ndarray) -> bytes:
+    """Small numbers below 2**32, low bytes first, then the next."""
+    return pa.compress(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
 def _looked_up(parts: pa.Table, counts: pa.Table) -> pa.Table:
@@ -265,8 +272,9 @@ def _joined(docs: int, room: float):
         first = next(r for r in own if not r["kind"])
         found = lambda kind, c, dtype: np.concatenate([np.frombuffer(r[c], dtype) for r in own if r["kind"] == kind])
         words, begins = np.frombuffer(first["keys"], "<u8").astype(K.U64), np.frombuffer(first["begins"], "<i8")
-        at = np.frombuffer(first["at"], _index(len(words)))
-        count, word = found(1, "counts", "<i8"), MEANING[found(1, "levels", np.uint8)][at]
+        order = np.argsort(words)  # words come by how often they occur, what was found by hash
+        at = np.argsort(order)[_unpacked(first["at"], int(begins[-1]))]
+        words, count, word = words[order], found(1, "counts", "<i8"), MEANING[found(1, "levels", np.uint8)][at]
         back = np.unique(pair_hashes(words[at], begins)[0], return_inverse=True)[1]
         before = np.empty_like(word)
         before[1:] = word[:-1]
