@@ -1,9 +1,10 @@
 """Secret scanning with a random forest that removes false positives. DataFrame functions only.
 
-Candidates are assignments to words such as ``password`` or ``token`` and runs of 16 or more key-like
-characters with a digit.  A forest (Spark ML) scores each from its length, character classes and
-transitions between them, the share that dictionary words cover, the path (``source``) and the words
-before it.  It learns from labelled findings; ``labelled_findings`` makes the default set from rules.
+Candidates are assignments to words such as ``password`` or ``token`` (also as quoted names, and with or
+without a digit) and runs of 16 or more key-like characters with a digit.  A forest (Spark ML) scores each
+from its length, character classes and transitions between them, the share that dictionary words cover,
+the path (``source``) and the words before it.  It learns from labelled findings;
+``labelled_findings`` makes the default set from rules.
 
 A finding is one distinct candidate of a document: its first place, how often it occurs, its score.
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .shared import documents
 
-ASSIGNED = "(?i:password|passwd|pwd|secret|token|api_?key|auth)\\s?[=:]\\s?[\"']?[^\\s\"']{6,}"
-KEY_LIKE = "[A-Za-z0-9+/_=\\-]{16,}"
+ASSIGNED = "(?i:password|passwd|pwd|secret|token|api_?key|auth)[\"']?\\s?[=:]\\s?[\"']?[^\\s\"']{6,}"
+#: A whole run with a digit; a run without is searched for assignments.
+KEY_LIKE = "(?<![A-Za-z0-9+/_=\\-])(?=[A-Za-z+/_=\\-]*[0-9])[A-Za-z0-9+/_=\\-]{16,}"
 CONTEXT = 32
 TREES = 40
 DEPTH = 7
@@ -39,7 +41,7 @@ def _share(c: Column, kept: str) -> Column:
 
 def features(findings: DataFrame) -> DataFrame:
     """``findings`` (candidate, before, path) with the forest's columns."""
-    start = "^(?i:[a-z_\\-]*(password|passwd|pwd|secret|token|api_?key|auth)[a-z_\\-]*)\\s?[=:]\\s?[\"']?"
+    start = "^(?i:[a-z_\\-]*(password|passwd|pwd|secret|token|api_?key|auth)[a-z_\\-]*)[\"']?\\s?[=:]\\s?[\"']?"
     value = F.regexp_replace("candidate", start, "")
     near = F.lower(F.concat_ws(" ", "before", F.regexp_extract("candidate", start, 0)))
     form = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "0"), "[A-Z]+", "A"), "[a-z]+", "a")
@@ -82,7 +84,7 @@ def fit(findings: DataFrame) -> RandomForestClassificationModel:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, candidate, before, path, start (code points, from 0), times; one row per distinct candidate of a document."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"))
-    found = F.filter(F.regexp_extract_all("text", F.lit(f"{ASSIGNED}|{KEY_LIKE}"), F.lit(0)), lambda c: c.rlike("[0-9]"))
+    found = F.regexp_extract_all("text", F.lit(f"{ASSIGNED}|{KEY_LIKE}"), F.lit(0))
     one = rows.withColumn("found", found).where(F.size("found") > 0).select("doc_id", "text", "path", "found", F.explode(F.array_distinct("found")).alias("candidate"))
     start = F.expr("instr(text, candidate)") - 1
     return one.select("doc_id", "candidate", "path", start.cast("long").alias("start"), F.size(F.filter("found", lambda c: c == F.col("candidate"))).cast("long").alias("times"),
