@@ -7,9 +7,10 @@ occurrences counted over all documents.  A document position whose shingle is so
 a candidate; the shingle's place in the window gives the only possible start (positional bound), the
 document's words must hold the whole window (length bound), and the words are then compared.
 
-Items are taken in blocks of bounded size, each broadcast and joined with all documents.
+Windows are told apart by their words, so that a passage of many items is compared once.  Items are
+taken in blocks of bounded size, each broadcast and joined with all documents.
 
-Defined results.  Null texts and texts without words have no hit; items without words are no item.
+Defined results.  An empty benchmark hits nothing.  Null texts and texts without words have no hit; items without words are no item.
 Items with equal words count each.  Rows without doc_id (item_id) are left out.  Repeated rows are
 judged alike.  A result row is one document row.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import documents, small_batches, stored
+from .shared import documents, small_batches, stored, without
 
 WINDOW = 10
 SHINGLE = 5
@@ -40,16 +41,22 @@ class Items:
         data = K.lower(data)
         starts, ends, before = K.words(data, offsets, K.ALNUM)
         words = K.span_hashes(data, starts, ends)
-        self.width = width
-        rows = []
+        self.width, self.data, self.starts, self.ends, self.words = width, data, starts, ends, words
+        names: dict[tuple[bytes, ...], int] = {}
+        rows, members = [], []
         for item, a, b in zip(ids, before[:-1].tolist(), before[1:].tolist()):
             n = min(window, b - a)
+            spelt = [data[x:y].tobytes() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())]
             for at in range(a, b - n + 1) if n else ():
-                rows.append((item, at, n))
-        self.item = np.array([r[0] for r in rows], np.int64)
-        self.at = np.array([r[1] for r in rows], np.int64)
-        self.size = np.array([r[2] for r in rows], np.int64)
-        self.words = words
+                name = names.setdefault(tuple(spelt[at - a : at - a + n]), len(rows))
+                if name == len(rows):
+                    rows.append((at, n))
+                    members.append(set())
+                members[name].add(item)
+        #: Of each distinct window: its items, the place of its first word, its length.
+        self.items = [sorted(m) for m in members]
+        self.at = np.array([r[0] for r in rows], np.int64)
+        self.size = np.array([r[1] for r in rows], np.int64)
         self.shingles = {q: np.unique(self._at(q)) for q in np.unique(np.minimum(self.size, width)).tolist()}
 
     def _at(self, q: int) -> np.ndarray:
@@ -63,13 +70,11 @@ class Items:
     def order(self, seen: dict[int, int]) -> None:
         """Choose every window's rarest shingle (ties: the first) and index the windows by it."""
         self.index = {}
-        self.whole = np.zeros(len(self.item), K.U64)
         for n in np.unique(self.size).tolist():
             own = np.flatnonzero(self.size == n)
             q = min(n, self.width)
             sums = np.stack([K.sequence_hashes(self.words, self.at[own] + k, q) for k in range(n - q + 1)], 1)
             rare = np.vectorize(lambda h: seen.get(h, 0), otypes=[np.int64])(sums.astype(np.int64)).argmin(1)
-            self.whole[own] = K.sequence_hashes(self.words, self.at[own], n)
             key = sums[np.arange(len(own)), rare]
             order = np.argsort(key, kind="stable")
             self.index[n] = (key[order], rare[order], own[order])
@@ -122,13 +127,20 @@ def _search(items: Items):
                     start, k = start[ok], k[ok]
                     ok = doc[start] == doc[start + n - 1]
                     start, k = start[ok], k[ok]
-                    ok = K.sequence_hashes(words, start, n) == it.whole[window[k]]
-                    for j in range(n):  # word for word
-                        ok &= words[start + j] == it.words[it.at[window[k]] + j]
-                    for s, w in zip(start[ok].tolist(), window[k[ok]].tolist()):
+                    k = window[k]
+                    for j in range(n):  # word for word: first their hashes, then their bytes
+                        ok = words[start + j] == it.words[it.at[k] + j]
+                        start, k = start[ok], k[ok]
+                    for j in range(n):
+                        mine, own = start + j, it.at[k] + j
+                        size = ends[mine] - starts[mine]
+                        ok = size == it.ends[own] - it.starts[own]
+                        ok[ok] = K.same_spans(data, starts[mine[ok]], it.data, it.starts[own[ok]], size[ok])
+                        start, k = start[ok], k[ok]
+                    for s, w in zip(start.tolist(), k.tolist()):
                         mine = per_doc.setdefault(int(doc[s]), (set(), set()))
                         mine[0].add((s - int(before[doc[s]]), s - int(before[doc[s]]) + n))
-                        mine[1].add(int(it.item[w]))
+                        mine[1].update(it.items[w])
                 n_words += np.diff(before).tolist()
                 for k in range(b - a):
                     mine = per_doc.get(k, ((), ()))
@@ -186,9 +198,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Filter form: whole rows of the documents without a hit."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(bad, docs["doc_id"] == bad["_hit_id"], "left_anti")
+    """Filter form: whole rows of the documents without a hit. Rows without doc_id go; a doc_id with several texts goes if one of them has a hit."""
+    return without(docs, decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

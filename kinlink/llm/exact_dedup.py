@@ -8,8 +8,10 @@ with those of the retained row; rows whose bytes differ (a digest collision) are
 text itself.
 
 Defined results.  Null text counts as empty; all texts of blanks only are equal.  Rows without doc_id
-are left out.  Rows that repeat both doc_id and text are one document.  Ties in length go to the
-smallest doc_id.  An empty table gives an empty table.  Extra columns never take part.
+are left out.  Rows that repeat doc_id, length and text without blanks are one document; one doc_id
+with several texts has a row for each.  Ties in length go to the
+smallest doc_id.  An empty table gives an empty table.  Extra columns never take part; of rows that
+repeat a document, the filter form keeps any one.  Very long texts are hashed and compared whole.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, shared_dir, stored
+from .shared import documents, dropped, shared_dir, split_by_id, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows that share one copy of the retained text while bytes are compared.
@@ -79,31 +81,43 @@ def retained(prints: DataFrame) -> DataFrame:
 
 
 def unequal(docs: DataFrame, members: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """Members of a group whose bytes differ from the retained row's: doc_id, digest. Both sides are dealt by (digest, salt), so a hot group spreads."""
+    """Members of a group whose bytes differ from the retained row's: doc_id, digest.
+
+    Only the texts of groups are shuffled.  Both sides are dealt by (digest, salt), so a hot group spreads.
+    """
+    hits = stored(members.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size"))
+    found = split_by_id(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), hits.select(F.col("doc_id").alias("_id")))[1]
     text = without_blanks(F.col("text"))
-    hits = members.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size")
-    texts = (docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("bytes"))
-             .join(hits, ["doc_id", "digest"]))
-    texts = stored(texts)  # of groups only; read twice
+    texts = found.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("bytes")).join(hits, ["doc_id", "digest"])
+    texts = stored(texts)  # read twice
     salts = F.floor(F.col("group_size") / ROWS_PER_SALT).cast("int")
     rows = texts.where("doc_id != keep_id").select("doc_id", "digest", "bytes", F.pmod(F.xxhash64("doc_id"), salts + 1).cast("int").alias("salt"))
     kept = texts.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", F.col("bytes").alias("kept_bytes"), F.explode(F.sequence(F.lit(0), salts)).alias("salt"))
-    return rows.join(kept, ["digest", "salt"]).where("bytes != kept_bytes").select("doc_id", "digest")
+    odd = stored(rows.join(kept, ["digest", "salt"]).where("bytes != kept_bytes").select("doc_id", "digest"))
+    dropped(hits, texts)
+    return odd
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, locator (file of the row that stays) for each document."""
-    prints = stored(fingerprints(docs, digest).dropDuplicates(["doc_id", "digest", "n_chars", "text_sha256"]))
+    return _dedup(docs, digest).drop("n_chars", "copies")
+
+
+def _dedup(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """Also n_chars of the document and how many rows repeat it."""
+    prints = fingerprints(docs, digest).groupBy("doc_id", "digest", "n_chars", "text_sha256").agg(F.min("locator").alias("locator"), F.count(F.lit(1)).alias("copies"))
+    prints = stored(prints)
     members = stored(_members(prints))
-    odd = stored(unequal(docs, members, digest))
-    result = members.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", F.col("keep_locator").alias("locator"))
+    odd = unequal(docs, members, digest)
     if odd.isEmpty():
-        return result
+        kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
+        return members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", F.col("keep_locator").alias("locator"), "n_chars", "copies")
     return _regrouped(docs, members, odd, digest)
 
 
 def _members(prints: DataFrame) -> DataFrame:
-    groups = retained(prints).select("digest", "keep_id", "group_size", F.col("locator").alias("keep_locator"))
+    # stored, so that the join deals both sides itself and Spark can split a hot digest
+    groups = stored(retained(prints).select("digest", "keep_id", "keep_chars", "group_size", F.col("locator").alias("keep_locator")))
     return prints.join(groups, "digest")
 
 
@@ -112,18 +126,37 @@ def _regrouped(docs: DataFrame, members: DataFrame, odd: DataFrame, digest: Call
     split = odd.select("digest").distinct()
     text = without_blanks(F.col("text"))
     mixed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("bytes")).join(split, "digest", "left_semi").dropDuplicates(["doc_id", "bytes"])
-    mixed = mixed.join(members.select("doc_id", "digest", "text_sha256", "n_chars", "locator"), ["doc_id", "digest"]).where(F.col("text_sha256") == sha256(F.col("bytes")))
+    mixed = mixed.join(members.select("doc_id", "digest", "text_sha256", "n_chars", "locator", "copies"), ["doc_id", "digest"]).where(F.col("text_sha256") == sha256(F.col("bytes")))
     best = mixed.groupBy("bytes").agg(F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("rank"), "locator")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    again = mixed.join(best, "bytes").select("doc_id", F.bitwise_not("best.rank").alias("keep_id"), "group_size", "text_sha256", F.col("best.locator").alias("locator"))
-    rest = members.join(split, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "text_sha256", F.col("keep_locator").alias("locator"))
-    return rest.unionByName(again).withColumn("kept", F.col("doc_id") == F.col("keep_id"))
+    columns = ["doc_id", "keep_id", "keep_chars", "group_size", "text_sha256", "locator", "n_chars", "copies"]
+    again = mixed.join(best, "bytes").select("doc_id", F.bitwise_not("best.rank").alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size", "text_sha256", F.col("best.locator").alias("locator"), "n_chars", "copies")
+    rest = members.join(split, "digest", "left_anti").drop("locator").withColumnRenamed("keep_locator", "locator").select(*columns)
+    kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
+    return rest.unionByName(again).withColumn("kept", kept).drop("keep_chars")
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """Filter form: the documents that stay, whole rows."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    kept = kept.dropDuplicates(["_kept_id"])
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """Filter form: the documents that stay, whole rows.
+
+    Documents that are alone or repeated nowhere pass without a shuffle; the others are joined with the
+    result by (doc_id, length, text without blanks), so one doc_id with several texts loses none of them.
+    Rows without doc_id go.
+    """
+    docs, found = docs.where(F.col("doc_id").isNotNull()), stored(_dedup(docs, sha256))
+    some = found.where("NOT kept OR copies > 1").select(F.col("doc_id").alias("_id"))
+    clean, rest = split_by_id(docs, some)
+    stay = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("n_chars").alias("_kept_chars"), F.col("text_sha256").alias("_kept_digest"), F.col("copies").alias("_kept_copies"))
+    same = (rest["doc_id"].cast("long") == stay["_kept_id"]) & (F.coalesce(F.char_length(rest["text"]), F.lit(0)) == stay["_kept_chars"]) & (sha256(without_blanks(rest["text"])) == stay["_kept_digest"])
+    once = rest.join(stay.where("_kept_copies = 1"), same, "left_semi")
+    again = stay.where("_kept_copies > 1")
+    if again.isEmpty():
+        return clean.unionByName(once)
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    more = rest.join(again, same, "left_semi").toDF(*names)
+    ids, texts = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    key = F.struct(F.col(ids), F.coalesce(F.char_length(texts), F.lit(0)), sha256(without_blanks(F.col(texts))))
+    more = more.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key").toDF(*docs.columns)
+    return clean.unionByName(once).unionByName(more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,11 +165,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH t AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+  SELECT DISTINCT doc_id, length(coalesce(text, '')) AS n_chars,
          regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm
   FROM documents WHERE doc_id IS NOT NULL),
 g AS (
-  SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
+  SELECT doc_id, n_chars, norm, first_value(doc_id) OVER w AS keep_id, first_value(n_chars) OVER w AS keep_chars, count(*) OVER (PARTITION BY norm) AS group_size
   FROM t WINDOW w AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AND n_chars = keep_chars AS kept, sha256(norm) AS text_sha256 FROM g
 """

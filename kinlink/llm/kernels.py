@@ -7,6 +7,7 @@ twin in ``tests/llm``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,12 @@ import pyarrow as pa
 U64 = np.uint64
 CHUNK_BYTES = 1 << 18
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**64, 256, dtype=U64)
-_SLOT = _rng.integers(1, 2**64, 64, dtype=U64) | U64(1)
-_ROOT = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+_SLOT = np.random.default_rng(20240229).integers(1, 2**64, 64, dtype=U64) | U64(1)
+_ODD = U64(0x9E3779B97F4A7C15)
+#: Low bytes of a lane of eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Longer spans are hashed one by one.
+LONG = 512
 
 #: ASCII blanks of the contracts: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
@@ -92,23 +93,58 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_ROOT, _INVERSE)):
-            steps = np.full(size, base, U64)
-            steps[0] = U64(1)
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data``, and past its end zeros, as one integer."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span of bytes, from one running sum over the chunk."""
-    n = len(data)
-    up, down = _power(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * _SLOT[63])
+    """A 64-bit hash of every span of bytes: each eight bytes are folded into the state by a bijection."""
+    lanes, size = _lanes(data), ends - starts
+    out = mix(size.astype(U64) * _SLOT[63] + _SLOT[62])
+    live = None
+    for at in range(0, min(LONG, int(size.max(initial=0))), 8):
+        if live is None:
+            out = mix((out ^ lanes[starts] & _LOW[np.minimum(size, 8)]) * _ODD)
+        else:
+            lane = lanes[starts[live] + at] & _LOW[np.minimum(size[live] - at, 8)]
+            out[live] = mix((out[live] ^ lane) * _ODD)
+        live = np.flatnonzero(size > at + 8) if live is None else live[size[live] > at + 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """``span_hashes`` of the ``width`` bytes from every place that has them, for a width up to ``LONG``."""
+    n, lanes = max(0, len(data) - width + 1), _lanes(data)
+    out = np.full(n, mix(np.full(1, width, U64) * _SLOT[63] + _SLOT[62])[0], U64)
+    for at in range(0, width, 8):
+        out ^= lanes[at : at + n] & _LOW[min(8, width - at)]
+        out *= _ODD
+        _mix_in_place(out)
+    return out
+
+
+def _mix_in_place(x: np.ndarray) -> None:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x ^= x >> U64(shift)
+        if factor != 1:
+            x *= U64(factor)
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of a from each start are those of b, over ``size`` bytes."""
+    x, y, out = _lanes(a), _lanes(b), np.ones(len(size), bool)
+    live, at = np.flatnonzero(size > 0), 0
+    while len(live):
+        differs = (x[a_starts[live] + at] ^ y[b_starts[live] + at]) & _LOW[np.minimum(size[live] - at, 8)]
+        out[live[differs != 0]] = False
+        at += 8
+        live = live[(differs == 0) & (size[live] > at)]
+    return out
 
 
 def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:

@@ -49,9 +49,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     none = np.zeros(0, np.int64)
     if n < length:
         return np.zeros(0, K.U64), none, none, none, none
-    at = np.arange(n - gram + 1)
-    hashes = K.span_hashes(data, at, at + gram)
-    keys = hashes & ~_PLACE | at.astype(K.U64)
+    hashes = K.window_hashes(data, gram)
+    keys = hashes & ~_PLACE | np.arange(len(hashes), dtype=K.U64)
     rows = -(-len(keys) // width)
     grid = np.full(rows * width, 2**64 - 1, K.U64)
     grid[: len(keys)] = keys

@@ -1,4 +1,4 @@
-"""Session helpers of the text operators: shared tables, batch sizes, bucket counts, folds."""
+"""Session helpers of the text operators: shared tables, batch sizes, bucket counts, folds, bounded id filters."""
 
 from __future__ import annotations
 
@@ -9,9 +9,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests), under the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{root.rstrip('/')}/kinlink-{uuid.uuid4().hex}"
+    """A new folder under ``spark.checkpoint.dir`` that goes when the driver ends.
+
+    Where the setting is unset, a local session (tests) uses its warehouse; a cluster has no folder
+    that all machines see, so there it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    out = f"{root.rstrip('/')}/kinlink-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)  # only what is there can be marked
+    files.deleteOnExit(where)
+    return out
 
 
 #: While set, shuffle files go as soon as the query that made them ends.
@@ -24,23 +37,26 @@ def stored(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove the files behind a ``stored`` table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/kinlink-" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(*tables: DataFrame | None) -> None:
+    """Remove the files behind ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/kinlink-" in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
-    """Bound what one Arrow batch holds, whatever the length of the texts."""
+    """Bound what one Arrow batch holds, whatever the length of the texts. Spark reads these settings when a plan runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -57,3 +73,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+#: Bits of a broadcast set of ids: 8 MB, whatever the number of ids.
+SET_BITS = 1 << 26
+_BITMAP = 32768
+
+
+def split_by_id(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose doc_id is surely not in ``ids`` (column ``_id``), and those for which a join must tell.
+
+    The ids are hashed into a bit set of fixed size, so the first part, most rows where few ids are given, is
+    never shuffled.  Only DataFrame functions; any column of ``docs`` may have any name.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SET_BITS))
+    marks = ids.select(place(F.col("_id")).alias("_p")).groupBy(F.floor(F.col("_p") / _BITMAP).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_p") % _BITMAP).alias("_bits"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    p = place(F.col("_row.doc_id"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at, 1)")), 16, 10).cast("long")
+    found = rows.withColumn("_p", p).withColumn("_bucket", F.floor(F.col("_p") / _BITMAP)).join(F.broadcast(marks), "_bucket", "left").withColumn("_at", F.floor(F.col("_p") % _BITMAP / 8).cast("int") + 1)
+    hit = F.col("_bits").isNotNull() & (F.coalesce(F.getbit(byte, (F.col("_p") % 8).cast("int")), F.lit(0)) == 1)
+    found = found.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    return found.where(~F.col("_hit")).select("_row.*"), found.where("_hit").select("_row.*")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (column ``_id``); rows without doc_id go."""
+    docs = docs.where(F.col("doc_id").isNotNull())
+    ids = stored(ids.distinct())
+    clean, rest = split_by_id(docs, ids)
+    return clean.unionByName(rest.join(ids, rest["doc_id"].cast("long") == ids["_id"], "left_anti"))

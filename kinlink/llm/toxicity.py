@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import documents, fold, small_batches, stored
+from .shared import documents, fold, small_batches, stored, without
 
 BITS = 18
 PREFIXES = (4, 6)
@@ -163,9 +163,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Filter form: whole rows of the documents that are not predicted toxic."""
-    bad = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_toxic_id")).distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(bad, docs["doc_id"] == bad["_toxic_id"], "left_anti")
+    """Filter form: whole rows of the documents that are not predicted toxic. Rows without doc_id go; a doc_id with several texts goes if one of them is toxic."""
+    return without(docs, toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
