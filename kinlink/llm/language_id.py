@@ -1,13 +1,14 @@
 """Language identification by nearest centroid over TF-IDF weighted byte n-grams.
 
-Texts (A-Z folded) become hashed counts of 1- to 3-byte n-grams, damped, weighted by inverse document
-frequency and normalised.  Every language has several centroids from spherical k-means; a text takes
+Texts (A-Z folded, each run of ASCII other than letters one blank) become hashed counts of 1- to 3-byte
+n-grams, damped, weighted by inverse document frequency over all documents and normalised.  Every language has several centroids from spherical k-means; a text takes
 the language of the centroid with the largest cosine.  A text further than the language's own
 training rows (``distance`` above its limit) is flagged ``rejected``.
 
-Fitting uses at most ``per_language`` rows of each language (a documented bound, chosen by a hash).
+Fitting uses about ``per_language`` rows of each language, and ``most`` in all (documented bounds): those
+whose hash of doc_id is under a threshold, so that no task sees more than it keeps.
 
-Defined results.  Null texts and texts without a letter are ``und`` with score 0, whatever else they
+Defined results.  An empty table gives an empty table; very long texts are counted whole.  Null texts and texts without a letter are ``und`` with score 0, whatever else they
 hold; so is every text when no row is labelled.  Equal cosines go to the language that sorts first.
 Rows without doc_id are left out; repeated rows are predicted alike.
 """
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -27,14 +27,22 @@ from .shared import documents, fold, small_batches
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
+MOST = 6400
 CENTROIDS = 4
 UNDETERMINED = "und"
 
 
+_LETTERS = np.full(256, 0x20, np.uint8)
+_LETTERS[0x61:0x7B] = _LETTERS[0x41:0x5B] = np.arange(0x61, 0x7B)
+_LETTERS[0x80:] = np.arange(0x80, 0x100)
+
+
 def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Hashed n-gram counts, one row per document of the chunk."""
-    data, n = K.lower(data).astype(np.uint32), len(offsets) - 1
+    data, n = _LETTERS[data], len(offsets) - 1
     doc = np.repeat(np.arange(n), np.diff(offsets))
+    again = np.flatnonzero((data[1:] == 0x20) & (data[:-1] == 0x20) & (doc[1:] == doc[:-1])) + 1
+    data, doc = np.delete(data, again).astype(np.uint32), np.delete(doc, again)
     out = np.zeros(n * DIMENSIONS)
     code = np.zeros(len(data), np.uint32)
     for width in (1, 2, 3):
@@ -60,10 +68,9 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Centroids:
-    def __init__(self, langs: list[str], counts: np.ndarray, per: int = CENTROIDS, seed: int = 5):
+    def __init__(self, langs: list[str], counts: np.ndarray, idf: np.ndarray, per: int = CENTROIDS, seed: int = 5):
         names = np.array(langs, dtype=object)
-        df = (counts > 0).sum(0)
-        self.idf = np.log((1 + len(counts)) / (1 + df)) + 0.1
+        self.idf = idf
         x = self.vectors(counts)
         rng, means, owner, limits = np.random.default_rng(seed), [], [], {}
         for lang in sorted(set(langs)):
@@ -86,16 +93,38 @@ class Centroids:
         return self.owner[best], np.clip(cosine[np.arange(len(best)), best], 0, 1)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Centroids | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> Centroids | None:
     """Learn from text and lang of documents whose fold of 4 is not 2."""
-    small_batches(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id"), 4) != 2)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("k", rank).where(F.col("k") <= per_language).select(F.col("doc_id").alias("_id")).distinct()
-    found = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("lang", "text").mapInArrow(_vectors, "lang string, x binary").toPandas()
+    spark, parts = docs.sparkSession, 1 << 31
+    small_batches(spark)
+    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id"), 4) != 2).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    size = rows.groupBy("lang").count().collect()
+    each = max(1, min(per_language, most // max(1, len(size))))
+    under = spark.createDataFrame([(r["lang"], min(parts, -(-each * parts // r["count"]))) for r in size], "_lang string, _under long")
+    chosen = rows.join(F.broadcast(under), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(parts)) < F.col("_under"))
+    found = chosen.select("lang", "text").mapInArrow(_vectors, "lang string, x binary").toPandas().sort_values(["lang", "x"])
     if not len(found):
         return None
-    return Centroids(found["lang"].tolist(), np.stack([np.frombuffer(x, "<f4") for x in found["x"]]).astype(float))
+    return Centroids(found["lang"].tolist(), np.stack([np.frombuffer(x, "<f4") for x in found["x"]]).astype(float), inverse_frequency(docs))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, df = 0, np.zeros(DIMENSIONS, np.int64)
+    for batch in batches:
+        for a, b, d, o in K.chunks(batch.column("text")):
+            for i in range(0, b - a, 256):
+                j = min(b - a, i + 256)
+                df += (gram_counts(d[o[i] : o[j]], o[i : j + 1] - o[i]) > 0).sum(0)
+        n += batch.num_rows
+    yield pa.record_batch([pa.array(np.arange(DIMENSIONS + 1)), pa.array(np.append(df, n))], ["slot", "n"])
+
+
+def inverse_frequency(docs: DataFrame) -> np.ndarray:
+    """Weight of every n-gram slot from all documents."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(DIMENSIONS + 1)
+    n[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    return np.log((1 + n[-1]) / (1 + n[:-1])) + 0.1
 
 
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Each task packs what it reads, online, with a fixed number of open bins.  The open bins' free space
 is the index of a bit in one integer; the best fit for a length is the lowest set bit at or above it.
-When all bins are open and none fits, the fullest one closes.  Bins that are not full when a task ends
-are then packed as wholes, largest first, a bounded number of bins to a task, so that a task's
-remainder does not stay half empty.
+When all bins are open and none fits, the fullest one closes for good.  The bins still open when a task
+ends, a bounded number, are handed on as wholes to the same packer with the same bound, largest first,
+so that a task's remainder does not stay half empty.
 
 A document is its token ids and a final 0.  Only longer documents are cut, at multiples of the length.
 
@@ -119,6 +119,7 @@ class BestFit:
 
     def __init__(self, length: int = LENGTH, bins: int = OPEN_BINS):
         self.length, self.bins = length, bins
+        #: Open bins by free space; the bit set holds the spaces that occur.
         self.free: dict[int, list[int]] = defaultdict(list)
         self.bits = self.open = self.made = 0
 
@@ -149,7 +150,12 @@ class BestFit:
             self.open -= 1
         return at, self.length - space
 
+    def left_open(self) -> list[tuple[int, int]]:
+        """(bin, tokens in it) of the bins that are still open."""
+        return [(at, self.length - space) for space, stack in self.free.items() for at in stack]
 
+
+#: Rows with piece -1 are no pieces: the bins that a task leaves open, and what is in them.
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"
 
 
@@ -168,6 +174,9 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, bins: int = OPEN_BI
                     for column, value in zip(columns, (doc_id, k, start, len(part), zlib.crc32(part), base + at, offset)):
                         column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
+        rows = [(None, -1, 0, used, 0, base + at, 0) for at, used in fit.left_open()]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
 
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, _PIECES)
 
@@ -176,11 +185,11 @@ _NAMES = [x.split()[0] for x in _PIECES.split(", ")]
 _TYPES = [pa.int32() if x.endswith(" int") else pa.int64() for x in _PIECES.split(", ")]
 
 
-def _whole_bins(length: int):
-    """Pack bins as wholes, largest first, so that few bins stay part empty."""
+def _whole_bins(length: int, bins: int):
+    """Pack bins as wholes, largest first, with the same bound on open bins."""
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted(((n, b) for batch in batches for b, n in zip(batch.column("bin").to_pylist(), batch.column("used").to_pylist())), key=lambda x: (-x[0], x[1]))
-        fit, base = BestFit(length, len(found) + 1), (1 << 62) + (TaskContext.get().partitionId() << 32)
+        found = sorted(((n, b) for batch in batches for b, n in zip(batch.column("bin").to_pylist(), batch.column("length").to_pylist())), key=lambda x: (-x[0], x[1]))
+        fit, base = BestFit(length, bins), (1 << 62) + (TaskContext.get().partitionId() << 32)
         placed = [(b, base + at, off) for n, b in found for at, off in [fit.put(n)]]
         if placed:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*placed)], ["bin", "sequence_id", "shift"])
@@ -190,11 +199,10 @@ def _whole_bins(length: int):
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, bins: int = OPEN_BINS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     rows = stored(pieces(docs, path or vocabulary_path(), length, bins))
-    used = rows.groupBy("bin").agg(F.sum("length").alias("used")).where(F.col("used") < length)
-    used = stored(used)
-    tasks = 1 + used.count() // BINS_PER_TASK
-    moved = stored(used.repartition(tasks, F.xxhash64("bin")).mapInArrow(_whole_bins(length), "bin long, sequence_id long, shift long"))
-    return rows.join(moved, "bin", "left").select(
+    left = rows.where("piece = -1").select("bin", "length")
+    tasks = 1 + left.count() // BINS_PER_TASK
+    moved = stored(left.repartition(tasks, F.xxhash64("bin")).mapInArrow(_whole_bins(length, bins), "bin long, sequence_id long, shift long"))
+    return rows.where("piece >= 0").join(moved, "bin", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence_id", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
 
 

@@ -2,10 +2,10 @@
 
 Each class has a mean and a covariance that is shrunk towards its diagonal and a ridge; the score is
 the logistic of the difference of the two Gaussian log-densities (log-determinant and Mahalanobis
-distance from Cholesky factors computed once) plus the log prior odds.  Means and covariances are
-sums over all labelled rows outside the held-out fold.
+distance from Cholesky factors computed once) plus the log prior odds.  Means, and then second moments
+about them, are sums over all labelled rows outside the held-out fold.
 
-Defined results.  Null and empty texts have statistics of zero and are scored like any other text.
+Defined results.  An empty table gives an empty table; very long texts are read whole, one at a time.  Null and empty texts have statistics of zero and are scored like any other text.
 With one class only, the score is that class (0.5 without labels).  Conflicting labels of a document
 count as low quality.  Rows without doc_id are left out; repeated rows score alike.
 """
@@ -90,29 +90,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class of the partition: rows, sum and sum of outer products about a fixed centre."""
-    k = len(STATISTICS)
-    total = {y: [0, np.zeros(k), np.zeros((k, k))] for y in (0, 1)}
-    for batch in batches:
-        x, y = _matrix(batch.column("x")), batch.column("y").to_numpy(zero_copy_only=False)
-        for c, t in total.items():
-            z = x[y == c]
-            t[0] += len(z)
-            t[1] += z.sum(0)
-            t[2] += z.T @ z
-    rows = [(c, t[0], np.concatenate([t[1], t[2].reshape(-1)]).tolist()) for c, t in total.items() if t[0]]
-    yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["y", "n", "s"])
+def _moments(centre: dict[int, np.ndarray]):
+    """Per class of the partition: rows, sum and sum of outer products about the class's ``centre``."""
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(STATISTICS)
+        total = {y: [0, np.zeros(k), np.zeros((k, k))] for y in centre}
+        for batch in batches:
+            x, y = _matrix(batch.column("x")), batch.column("y").to_numpy(zero_copy_only=False)
+            for c, t in total.items():
+                z = x[y == c] - centre[c]
+                t[0] += len(z)
+                t[1] += z.sum(0)
+                t[2] += z.T @ z
+        rows = [(c, t[0], np.concatenate([t[1], t[2].reshape(-1)]).tolist()) for c, t in total.items() if t[0]]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["y", "n", "s"])
+    return summed
 
 
 class Discriminant:
     """Two Gaussians; ``classes`` maps 0/1 to (rows, mean, lower Cholesky factor inverse, log-determinant)."""
 
-    def __init__(self, sums: dict[int, tuple[int, np.ndarray, np.ndarray]], shrinkage: float = SHRINKAGE, ridge: float = RIDGE):
+    def __init__(self, sums: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]], shrinkage: float = SHRINKAGE, ridge: float = RIDGE):
+        """``sums``: of each class its rows, the centre of its moments, the sum and the outer products about it."""
         self.classes = {}
-        for y, (n, s, outer) in sums.items():
-            mean = s / n
-            cov = outer / n - np.outer(mean, mean)
+        for y, (n, centre, s, outer) in sums.items():
+            off = s / n
+            mean = centre + off
+            cov = outer / n - np.outer(off, off)
             cov = (1 - shrinkage) * cov + shrinkage * np.diag(np.diag(cov)) + ridge * np.eye(len(mean))
             factor = np.linalg.cholesky(cov)
             self.classes[y] = (n, mean, np.linalg.inv(factor), 2 * float(np.log(np.diag(factor)).sum()))
@@ -128,11 +132,13 @@ def fit(features: DataFrame, labels: DataFrame) -> Discriminant:
     """``features``: doc_id, x. Learns from labelled rows whose fold of 3 is not 1."""
     truth = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id"), 3) != 1)
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y")))
-    parts = features.join(truth, "doc_id").select("x", "y").mapInArrow(_moments, "y int, n long, s array<double>").toPandas()
     k, sums = len(STATISTICS), {}
+    rows = features.join(truth, "doc_id").select("x", "y")
+    centre = {r["y"]: np.array([r[f"m{i}"] for i in range(k)]) for r in rows.groupBy("y").agg(*(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(k))).collect() if r["y"] in (0, 1)}
+    parts = rows.mapInArrow(_moments(centre), "y int, n long, s array<double>").toPandas()
     for y, group in parts.groupby("y"):
         s = np.sum([np.asarray(v) for v in group["s"]], 0)
-        sums[int(y)] = (int(group["n"].sum()), s[:k], s[k:].reshape(k, k))
+        sums[int(y)] = (int(group["n"].sum()), centre[int(y)], s[:k], s[k:].reshape(k, k))
     return Discriminant(sums)
 
 
