@@ -1,22 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting.  Word and word-pair counts of the training texts are gathered exactly, by hash bucket, with
-counts summed in each task before they are sent.
+Counting.  Counts of words, pairs and triples of words of the training texts are gathered by hash
+bucket, with counts summed in each task before they are sent.
 Filter.  A count c has level ``1 + floor(log2 c)``; an n-gram is inserted once for each level up to its
-own, so a count is read back by probing level after level until a miss.  Words and
-pairs of any count are held.  Each bucket builds its own segment of ``BITS_PER_INSERTION``
-bits for every insertion it counted, so the filter grows with the input and reads err equally often at
-any size.  No task and not the driver holds more than one segment.
-Scoring.  ``p(w|v) = MIX * c(vw)/c(v) + (1-MIX) * (c(w)+0.5)/(N+0.5(V+1))`` with the counts read from
-the filter; the base score uses exact word counts.  Documents are taken in units of about ``UNIT``
-tokens.  The distinct words and pairs of a unit are sent to their buckets, and what these hold comes back
-to the unit, where the scores of its documents are summed.
-
-Words are told apart by 48 bits of hash and those that choose the bucket.
+own, so a count is read back by probing level after level until a miss.  N-grams of any count are
+held.  Each bucket builds its own segment of ``BITS_PER_INSERTION`` bits for every insertion it counted,
+so the filter grows with the input and reads err equally often at any size: ``PROBES`` probes find a
+missing n-gram in about 1.8 % of reads.  No task and not the driver holds more than one segment.
+Scoring.  ``p(w|v) = MIX * c(vw)/c(v) + (1-MIX) * (c(w)+0.5)/(N+0.5(V+1))`` and
+``p(w|uv) = MIX * c(uvw)/c(uv) + (1-MIX) * p(w|v)`` with the counts read from the filter; the base score
+uses exact word counts.  Documents are taken in units of about ``UNIT`` tokens.  The distinct n-grams of
+a unit are sent to their buckets, and what these hold comes back to the unit, where the scores of its
+documents are summed.
+
+Words are told apart by 48 bits of hash, pairs and triples by 32, each besides those that choose the
+bucket; buckets grow in number with the input, so that stays far rarer than a false probe.
 
 Defined results.  Null and empty texts are the end token alone.  Without training rows N = V = 0 and
 the base is log10(1) a token.  Rows without doc_id are left out; repeated rows count and are scored
-each.
+each.  An empty table gives an empty table; a very long text is a unit of its own.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ BITS_PER_INSERTION = 10
 MIX = 0.5
 END = K.U64(0x5EED0E7D00000001)
 START = K.U64(0x5EED57A7000000F1)
-LOW = K.U64((1 << 48) - 1)
+#: Words, pairs, triples.
+KINDS = (1, 2, 3)
 #: n-grams that one task sums before it sends them.
 HELD = 1_000_000
 #: Tokens that are scored together; a longer text has a unit of its own.
@@ -51,18 +54,62 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.insert(K.span_hashes(data, starts, ends), before[1:], END), before + np.arange(len(before))
 
 
-def pair_hashes(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of previous and current token, previous token) for each token."""
-    previous = np.empty_like(tokens)
-    previous[1:] = tokens[:-1]
-    previous[begins[:-1]] = START
-    return K.mix(previous * K.U64(0xD1342543DE82EF95) + tokens), previous
+def gram_hashes(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the hash of it and the token before, and of it and the two before."""
+    first = begins[:-1]
+
+    def chained(before: np.ndarray, start: np.uint64) -> np.ndarray:
+        previous = np.empty_like(tokens)
+        previous[1:] = before[:-1]
+        previous[first] = start
+        return K.mix(previous * K.U64(0xD1342543DE82EF95) + tokens)
+
+    pairs = chained(tokens, START)
+    return pairs, chained(pairs, START)
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> K.U64(32)) * K.U64(n) >> K.U64(32)).astype(np.int64)
 
 
+def gram_keys(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Bucket in the high half, what tells n-grams of a bucket apart in the low half."""
+    return bucket_of(hashes, n).astype(K.U64) << K.U64(32) | hashes & K.U64(0xFFFFFFFF)
+
+
+def _cuts(kind: int, keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys."""
+    return np.searchsorted(bucket_of(keys, n) if kind == 1 else keys >> K.U64(32), np.arange(n + 1))
+
+
+def _packed(at: np.ndarray) -> bytes:
+    """Small unsigned numbers, low bytes first, then the next; compressed."""
+    width = at.dtype.itemsize
+    return bytes([width]) + pa.compress(at.view(np.uint8).reshape(-1, width).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    width = blob[0]
+    raw = np.frombuffer(pa.decompress(blob[1:], width * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").reshape(-1)
+
+
+def _coded(kind: int, keys: np.ndarray) -> bytes:
+    """Sorted keys of one bucket. Words: 6 bytes each; n-grams: 2 bytes each and the steps of the upper two, compressed."""
+    if kind == 1:
+        return K.pack(keys, 6)
+    low = keys.astype("<u4")
+    steps = np.diff(low >> 16, prepend=np.uint32(0)).astype("<u2")
+    return low.astype("<u2").tobytes() + _packed(steps)
+
+
+def _decoded(kind: int, blob: bytes, n: int) -> np.ndarray:
+    if kind == 1:
+        return K.unpack(blob, 6)
+    low = np.frombuffer(blob, "<u2", n)
+    return (np.cumsum(_unpacked(blob[2 * n :], n).astype(K.U64)) << K.U64(16)) | low
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, K.U64), np.zeros(0, np.int64)
@@ -74,48 +121,49 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _dealt(kind: int, keys: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple]:
-    """(bucket, kind, keys seen once, other keys, their counts) as packed columns."""
-    order, cut = K.split_by(bucket_of(keys, n), n)
-    keys, counts = keys[order], counts[order]
-    for b in range(n):
+    """(bucket, kind, keys seen once, how many, other keys, their counts) as packed columns."""
+    cut = _cuts(kind, keys, n)
+    for b in np.flatnonzero(np.diff(cut)).tolist():
         k, c = keys[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]
-        if len(k):
-            yield b, kind, K.pack(k[c == 1], 6), K.pack(k[c > 1], 6), c[c > 1].astype("<i8").tobytes()
+        once = c == 1
+        yield b, kind, _coded(kind, k[once]), int(once.sum()), _coded(kind, k[~once]), c[~once].astype("<i8").tobytes()
 
 
-_GRAMS = "bucket int, kind int, once binary, keys binary, counts binary"
+_GRAMS = "bucket int, kind int, once binary, n_once long, keys binary, counts binary"
 
 
 def _grams(n: int):
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("once", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+    schema = _schema(_GRAMS)
 
     def sent(held: dict[int, tuple[list, list]]) -> pa.RecordBatch:
         rows = [r for kind, (keys, counts) in held.items() for r in _dealt(kind, *_summed(keys, counts), n)]
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {1: ([], []), 2: ([], [])}, 0
+        empty = lambda: {kind: ([], []) for kind in KINDS}
+        held, size = empty(), 0
         for batch in batches:
             for _, _, data, offsets in K.chunks(batch.column("text")):
                 tokens, begins = token_hashes(data, offsets)
-                for kind, keys in ((1, tokens), (2, pair_hashes(tokens, begins)[0])):
+                for kind, keys in zip(KINDS, (tokens, *(gram_keys(h, n) for h in gram_hashes(tokens, begins)))):
                     k, c = np.unique(keys, return_counts=True)
                     held[kind][0].append(k)
                     held[kind][1].append(c)
                     size += len(k)
                 if size > HELD:
                     yield sent(held)
-                    held, size = {1: ([], []), 2: ([], [])}, 0
+                    held, size = empty(), 0
         yield sent(held)
     return counted
 
 
 def _received(rows: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
-    for k, once, more, n in zip(*(rows.column(c).to_pylist() for c in ("kind", "once", "keys", "counts"))):
+    for k, once, m, more, n in zip(*(rows.column(c).to_pylist() for c in ("kind", "once", "n_once", "keys", "counts"))):
         if k == kind:
-            keys += [K.unpack(once, 6), K.unpack(more, 6)]
-            counts += [np.ones(len(once) // 6, np.int64), np.frombuffer(n, "<i8")]
+            c = np.frombuffer(n, "<i8")
+            keys += [_decoded(kind, once, m), _decoded(kind, more, len(c))]
+            counts += [np.ones(m, np.int64), c]
     return _summed(keys, counts)
 
 
@@ -125,8 +173,10 @@ _COUNTS = "bucket int, n long, v long, insertions long, words binary, word_count
 def _counts(rows: pa.Table) -> pa.Table:
     bucket = rows.column("bucket")[0].as_py()
     words, n = _received(rows, 1)
-    pairs, m = _received(rows, 2)
-    kinds = [(1, words, level(n)), (2, pairs, level(m))]
+    kinds = [(1, words, level(n))]
+    for kind in KINDS[1:]:
+        grams, m = _received(rows, kind)
+        kinds.append((kind, grams, level(m)))
     insertions, most = sum(int(k[2].sum()) for k in kinds), max(int(k[2].max(initial=0)) for k in kinds)
     bits = LogFrequencySegment.built(kinds, BITS_PER_INSERTION * insertions)
     return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": [int(n.sum())], "v": [len(words)], "insertions": [insertions], "words": pa.array([K.pack(words, 6)], pa.binary()), "word_counts": pa.array([n.astype("<i8").tobytes()], pa.binary()),
@@ -227,25 +277,15 @@ def _parts(n: int):
                 rank = np.empty_like(order)
                 rank[order] = np.arange(len(order))
                 place = -1 - int(K.mix(np.array([number], K.U64))[0] % K.U64(n))
-                rows = [(number, place, 0, words[order].astype("<u8").tobytes(), ids[a:b].tobytes(), begins.astype("<i8").tobytes(), _packed(rank[at]))]
-                for kind, keys in ((1, words), (2, np.unique(pair_hashes(tokens, begins)[0]))):
-                    cut = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))  # sorted keys are sorted by bucket
-                    rows += [(number, k, kind, K.pack(keys[cut[k] : cut[k + 1]], 6), b"", b"", b"") for k in np.flatnonzero(np.diff(cut)).tolist()]
+                rows = [(number, place, 0, words[order].astype("<u8").tobytes(), ids[a:b].tobytes(), begins.astype("<i8").tobytes(), _packed(rank[at].astype("<u4")))]
+                for kind, keys in zip(KINDS, (words, *(np.unique(gram_keys(h, n)) for h in gram_hashes(tokens, begins)))):
+                    cut = _cuts(kind, keys, n)
+                    rows += [(number, k, kind, _coded(kind, keys[cut[k] : cut[k + 1]]), int(cut[k + 1] - cut[k]).to_bytes(8, "little"), b"", b"") for k in np.flatnonzero(np.diff(cut)).tolist()]
                 number += 1
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     return dealt
 
 
-def _packed(at: np.ndarray) -> bytes:
-    """Small numbers below 2**32, low bytes first, then the next."""
-    return pa.compress(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(blob: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
-
-
 def _looked_up(parts: pa.Table, counts: pa.Table) -> pa.Table:
     """Levels of the words and pairs of one bucket and exact counts of its words, in place of the keys; other rows pass through."""
     own = (counts.to_pylist() or [{"words": b"", "word_counts": b"", "bits": b"", "insertions": 0, "most": 0}])[0]
@@ -255,8 +295,8 @@ def _looked_up(parts: pa.Table, counts: pa.Table) -> pa.Table:
     for row in parts.to_pylist():
         row |= {"levels": b"", "counts": b""}
         if row["kind"]:
-            keys = K.unpack(row["keys"], 6)
-            row |= {"keys": b"", "levels": segment.levels(keys, row["kind"]).tobytes()}
+            keys = _decoded(row["kind"], row["keys"], int.from_bytes(row["ids"], "little"))
+            row |= {"keys": b"", "levels": _packed(segment.levels(keys, row["kind"]))}
             if row["kind"] == 1:
                 place = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1))
                 c = np.where(words[place] == keys, values[place], 0) if len(words) else np.zeros(len(keys), np.int64)
@@ -265,23 +305,25 @@ def _looked_up(parts: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _schema(_FOUND))
 
 
-def _joined(docs: int, room: float):
+def _joined(docs: int, room: float, buckets: int):
     def joined(rows: pa.Table) -> pa.Table:
         """Scores of the documents of one unit."""
         own = sorted(rows.to_pylist(), key=lambda r: r["bucket"])
         first = next(r for r in own if not r["kind"])
-        found = lambda kind, c, dtype: np.concatenate([np.frombuffer(r[c], dtype) for r in own if r["kind"] == kind])
+        of = lambda kind: [r for r in own if r["kind"] == kind]
+        levels = lambda kind: MEANING[np.concatenate([_unpacked(r["levels"], int.from_bytes(r["ids"], "little")) for r in of(kind)])]
         words, begins = np.frombuffer(first["keys"], "<u8").astype(K.U64), np.frombuffer(first["begins"], "<i8")
         order = np.argsort(words)  # words come by how often they occur, what was found by hash
         at = np.argsort(order)[_unpacked(first["at"], int(begins[-1]))]
-        words, count, word = words[order], found(1, "counts", "<i8"), MEANING[found(1, "levels", np.uint8)][at]
-        back = np.unique(pair_hashes(words[at], begins)[0], return_inverse=True)[1]
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[begins[:-1]] = max(docs, 1)
-        both = np.minimum(MEANING[found(2, "levels", np.uint8)][back], before)
-        seen = np.divide(both, before, out=np.zeros_like(both), where=before > 0)
-        score = np.log10(MIX * seen + (1 - MIX) * (word + 0.5) / room)
+        words, count, word = words[order], np.concatenate([np.frombuffer(r["counts"], "<i8") for r in of(1)]), levels(1)[at]
+        chance, context = (word + 0.5) / room, word
+        for kind, hashes in zip(KINDS[1:], gram_hashes(words[at], begins)):
+            before = np.empty_like(word)
+            before[1:] = context[:-1]
+            before[begins[:-1]] = max(docs, 1)
+            context = np.minimum(levels(kind)[np.unique(gram_keys(hashes, buckets), return_inverse=True)[1]], before)
+            chance = MIX * np.divide(context, before, out=np.zeros_like(word), where=before > 0) + (1 - MIX) * chance
+        score = np.log10(chance)
         known, base, score = (np.add.reduceat(x, begins[:-1]) for x in ((count > 0).astype(np.int64)[at], np.log10(count + 0.5)[at], score))
         return pa.table({"doc_id": pa.array(np.frombuffer(first["ids"], "<i8")), "n_tokens": np.diff(begins), "n_known": known, "known_score": base, "score": score})
     return joined
@@ -293,7 +335,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_parts(model.buckets), _PARTS)
     held = counts.select("bucket", "insertions", "words", "word_counts", "most", "bits").groupBy("bucket")
     found = parts.groupBy("bucket").cogroup(held).applyInArrow(_looked_up, _FOUND)
-    rows = found.groupBy("batch").applyInArrow(_joined(model.docs, model.room), _SCORES)
+    rows = found.groupBy("batch").applyInArrow(_joined(model.docs, model.room, model.buckets), _SCORES)
     return rows.select("doc_id", "n_tokens", "n_known", (F.col("known_score") - F.col("n_tokens") * F.lit(float(np.log10(model.room)))).alias("base_score"), "score")
 
 

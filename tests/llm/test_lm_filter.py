@@ -28,15 +28,18 @@ def brute(rows):
     """score of every document from exact counts, each read as the meaning of its level."""
     tokens = {i: re.findall(r"\S+", t) + ["\0"] for i, t in rows}
     train = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    one, two = collections.Counter(x for w in train for x in w), collections.Counter(p for w in train for p in zip(["\1", *w], w))
+    one, two, three = (collections.Counter(g for w in train for g in zip(*(["\1"] * (n - 1 - k) + w[: len(w)] if k < n - 1 else w for k in range(n)))) for n in (1, 2, 3))
     read = lambda c: 0.0 if not c else float(lm_scoring.MEANING[int(math.log2(c)) + 1])
     room, out = sum(one.values()) + 0.5 * (len(one) + 1), {}
     for i, w in tokens.items():
         out[i] = 0.0
-        for v, x in zip(["\1", *w], w):
-            before = len(train) if v == "\1" else read(one[v])
-            both = min(read(two[v, x]), before)
-            out[i] += math.log10(0.5 * (both / before if before else 0) + 0.5 * (read(one[x]) + 0.5) / room)
+        for k, x in enumerate(w):
+            v, u = w[k - 1] if k else "\1", w[k - 2] if k > 1 else "\1"
+            before = len(train) if not k else read(one[v,])
+            pair = min(read(two[v, x]), before)
+            p = 0.5 * (pair / before if before else 0) + 0.5 * (read(one[x,]) + 0.5) / room
+            wide = len(train) if not k else min(read(two[u, v]), len(train) if k == 1 else read(one[u,]))
+            out[i] += math.log10(0.5 * (min(read(three[u, v, x]), wide) / wide if wide else 0) + 0.5 * p)
     return out
 
 
