@@ -2,8 +2,8 @@
 
 Texts (A-Z folded, each run of ASCII other than letters one blank) become hashed counts of 1- to 3-byte
 n-grams, damped, weighted by inverse document frequency over all documents and normalised.  Every language has several centroids from spherical k-means; a text takes
-the language of the centroid with the largest cosine.  A text further than the language's own
-training rows (``distance`` above its limit) is flagged ``rejected``.
+the language of the centroid with the largest cosine.  A text much further (``SLACK``) than the
+language's own training rows is flagged ``rejected``.
 
 Fitting uses about ``per_language`` rows of each language, and ``most`` in all (documented bounds): those
 whose hash of doc_id is under a threshold, so that no task sees more than it keeps.
@@ -30,6 +30,8 @@ PER_LANGUAGE = 400
 MOST = 6400
 CENTROIDS = 4
 UNDETERMINED = "und"
+#: A text is rejected beyond so many times the distance within which nearly all training rows lie.
+SLACK = 1.25
 
 
 _LETTERS = np.full(256, 0x20, np.uint8)
@@ -81,7 +83,7 @@ class Centroids:
                 centre = _unit(np.stack([own[nearest == k].sum(0) if (nearest == k).any() else centre[k] for k in range(len(centre))]))
             means.append(centre)
             owner += [lang] * len(centre)
-            limits[lang] = float(1 - np.quantile((own @ centre.T).max(1), 0.002))
+            limits[lang] = SLACK * float(1 - np.quantile((own @ centre.T).max(1), 0.002))
         self.centre, self.owner, self.limits = np.concatenate(means), np.array(owner, dtype=object), limits
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
