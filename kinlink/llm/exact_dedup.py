@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, dropped, shared_dir, split_by_id, stored
+from .shared import NARROW, WIDE, documents, dropped, shared_dir, split_by_id, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows that share one copy of the retained text while bytes are compared.
@@ -85,15 +85,16 @@ def unequal(docs: DataFrame, members: DataFrame, digest: Callable[[Column], Colu
 
     Only the texts of groups are shuffled.  Both sides are dealt by (digest, salt), so a hot group spreads.
     """
-    hits = stored(members.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size"))
+    files = 1 + members.count() // NARROW
+    hits = stored(members.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size"), files)
     found = split_by_id(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), hits.select(F.col("doc_id").alias("_id")))[1]
     text = without_blanks(F.col("text"))
     texts = found.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("bytes")).join(hits, ["doc_id", "digest"])
-    texts = stored(texts)  # read twice
+    texts = stored(texts, 1 + hits.count() // WIDE)  # read twice
     salts = F.floor(F.col("group_size") / ROWS_PER_SALT).cast("int")
     rows = texts.where("doc_id != keep_id").select("doc_id", "digest", "bytes", F.pmod(F.xxhash64("doc_id"), salts + 1).cast("int").alias("salt"))
     kept = texts.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", F.col("bytes").alias("kept_bytes"), F.explode(F.sequence(F.lit(0), salts)).alias("salt"))
-    odd = stored(rows.join(kept, ["digest", "salt"]).where("bytes != kept_bytes").select("doc_id", "digest"))
+    odd = stored(rows.join(kept, ["digest", "salt"]).where("bytes != kept_bytes").select("doc_id", "digest"), files)
     dropped(hits, texts)
     return odd
 
@@ -106,8 +107,9 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 def _dedup(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Also n_chars of the document and how many rows repeat it."""
     prints = fingerprints(docs, digest).groupBy("doc_id", "digest", "n_chars", "text_sha256").agg(F.min("locator").alias("locator"), F.count(F.lit(1)).alias("copies"))
-    prints = stored(prints)
-    members = stored(_members(prints))
+    files = 1 + docs.count() // NARROW
+    prints = stored(prints, files)
+    members = stored(_members(prints, files), files)
     odd = unequal(docs, members, digest)
     if odd.isEmpty():
         kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
@@ -115,9 +117,9 @@ def _dedup(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return _regrouped(docs, members, odd, digest)
 
 
-def _members(prints: DataFrame) -> DataFrame:
+def _members(prints: DataFrame, files: int) -> DataFrame:
     # stored, so that the join deals both sides itself and Spark can split a hot digest
-    groups = stored(retained(prints).select("digest", "keep_id", "keep_chars", "group_size", F.col("locator").alias("keep_locator")))
+    groups = stored(retained(prints).select("digest", "keep_id", "keep_chars", "group_size", F.col("locator").alias("keep_locator")), files)
     return prints.join(groups, "digest")
 
 
@@ -142,7 +144,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     result by (doc_id, length, text without blanks), so one doc_id with several texts loses none of them.
     Rows without doc_id go.
     """
-    docs, found = docs.where(F.col("doc_id").isNotNull()), stored(_dedup(docs, sha256))
+    docs, found = docs.where(F.col("doc_id").isNotNull()), stored(_dedup(docs, sha256), 1 + docs.count() // NARROW)
     some = found.where("NOT kept OR copies > 1").select(F.col("doc_id").alias("_id"))
     clean, rest = split_by_id(docs, some)
     stay = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("n_chars").alias("_kept_chars"), F.col("text_sha256").alias("_kept_digest"), F.col("copies").alias("_kept_copies"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import buckets, documents, fold, small_batches, stored
+from .shared import WIDE, buckets, documents, fold, small_batches, stored
 
 PROBES = 3
 BITS_PER_INSERTION = 10
@@ -235,11 +235,11 @@ class Model:
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """(model, exact word counts and filter segments by bucket) from the texts of ``docs``."""
-    n = buckets(docs)
+    n, size = buckets(docs), docs.count()
     small_batches(docs.sparkSession)
-    counts = stored(docs.select("text").mapInArrow(_grams(n), _GRAMS).groupBy("bucket").applyInArrow(_counts, _COUNTS))
+    counts = stored(docs.select("text").mapInArrow(_grams(n), _GRAMS).groupBy("bucket").applyInArrow(_counts, _COUNTS), 1 + size // WIDE)
     total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v"))).first()
-    return Model(total["n"], total["v"], docs.count(), n), counts
+    return Model(total["n"], total["v"], size, n), counts
 
 
 _PARTS = "batch long, bucket int, kind int, keys binary, ids binary, begins binary, at binary"

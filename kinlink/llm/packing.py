@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, small_batches, stored
+from .shared import WIDE, documents, small_batches, stored
 
 LENGTH = 2048
 OPEN_BINS = 1024
@@ -198,7 +198,7 @@ def _whole_bins(length: int, bins: int):
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, bins: int = OPEN_BINS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    rows = stored(pieces(docs, path or vocabulary_path(), length, bins))
+    rows = stored(pieces(docs, path or vocabulary_path(), length, bins), 1 + docs.count() // WIDE)
     left = rows.where("piece = -1").select("bin", "length")
     tasks = 1 + left.count() // BINS_PER_TASK
     moved = stored(left.repartition(tasks, F.xxhash64("bin")).mapInArrow(_whole_bins(length, bins), "bin long, sequence_id long, shift long"))

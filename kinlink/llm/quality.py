@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import documents, fold, small_batches, stored
+from .shared import WIDE, documents, fold, small_batches, stored
 
 SHRINKAGE = 0.1
 RIDGE = 1e-3
@@ -145,7 +145,7 @@ def fit(features: DataFrame, labels: DataFrame) -> Discriminant:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
-    features = stored(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics, "doc_id long, x array<double>"))
+    features = stored(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics, "doc_id long, x array<double>"), 1 + docs.count() // WIDE)
     model = spark.sparkContext.broadcast(fit(features, labels))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import buckets, documents, small_batches, stored
+from .shared import WIDE, buckets, documents, small_batches, stored
 
 LENGTH = 100
 GRAM = 24
@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark, n = docs.sparkSession, buckets(docs)
     small_batches(spark)
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    judged = stored(own.mapInArrow(_named(n), _OUT).groupBy("bucket").applyInArrow(_judged(n, FETCH_BITS), _OUT))
+    judged = stored(own.mapInArrow(_named(n), _OUT).groupBy("bucket").applyInArrow(_judged(n, FETCH_BITS), _OUT), 1 + own.count() // WIDE)
     asked = {r["bucket"]: np.frombuffer(bytes(r["payload"]), np.uint8) for r in judged.where("kind = 'ask'").select("bucket", "payload").toLocalIterator()}
     compared = own.mapInArrow(_fetch(n, spark.sparkContext.broadcast(asked), FETCH_BITS), _FETCHED).groupBy("bucket").applyInArrow(_compare(n), _OUT)
     return judged.where("kind = 'removed'").unionByName(compared).groupBy("bucket").applyInArrow(_by_document, "doc_id long, spans binary")

@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, stored
+from .shared import NARROW, documents, stored
 
 NAMES = "(?i:password|passwd|pwd|secret|token|api_?key|auth)"
 SIGN = "[\"']?\\s?[=:]\\s?"
@@ -62,13 +62,13 @@ def dictionary(docs: DataFrame) -> DataFrame:
 START = "^(?i:[a-z_\\-]*" + NAMES + "[a-z_\\-]*)" + SIGN + "[\"']?"
 
 
-def covered(findings: DataFrame, words: DataFrame) -> DataFrame:
+def covered(findings: DataFrame, words: DataFrame, files: int | None = None) -> DataFrame:
     """``findings`` with the share of each candidate's value that its letter runs (split where case rises) in the dictionary cover."""
     value = F.regexp_replace("candidate", START, "")
     runs = F.split(F.lower(F.regexp_replace(value, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
     parts = findings.select("candidate").distinct().select("candidate", F.greatest(F.length(value), F.lit(1)).alias("n"), F.explode(runs).alias("word"))
     share = parts.join(words, "word").groupBy("candidate").agg((F.sum(F.length("word")) / F.first("n")).alias("covered"))
-    return findings.join(stored(share), "candidate", "left").na.fill(0.0, ["covered"])
+    return findings.join(stored(share, files), "candidate", "left").na.fill(0.0, ["covered"])
 
 
 def features(findings: DataFrame) -> DataFrame:
@@ -132,9 +132,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def secret_scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """Findings with score (0 to 1, higher: likelier a secret) and predicted."""
-    words = stored(dictionary(docs.where(F.col("doc_id").isNotNull()).select("text")))
-    model = fit(covered(labelled_findings(docs.sparkSession) if findings is None else findings, words))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(covered(stored(candidates(docs)), words)))
+    files = 1 + docs.count() // NARROW
+    words = stored(dictionary(docs.where(F.col("doc_id").isNotNull()).select("text")), files)
+    model = fit(covered(labelled_findings(docs.sparkSession) if findings is None else findings, words, 1))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(covered(stored(candidates(docs), files), words, files)))
     score = vector_to_array(F.col("probability"))[1]
     return model.transform(rows).select("doc_id", "start", F.length("candidate").cast("long").alias("length"), "times", "candidate", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 

@@ -31,8 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, leaves no shuffle files."""
+#: Rows with texts, sets or n-grams, and rows of a few numbers, for which a stored table gets a file.
+WIDE, NARROW = 2000, 20_000
+
+
+def stored(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, leaves no shuffle files.
+
+    ``files``: tasks that write it at most, so that a small table is not dealt over all shuffle partitions.
+    """
+    df = df if files is None else df.coalesce(max(1, files))
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
@@ -100,6 +108,6 @@ def split_by_id(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``ids`` (column ``_id``); rows without doc_id go."""
     docs = docs.where(F.col("doc_id").isNotNull())
-    ids = stored(ids.distinct())
+    ids = stored(ids.distinct(), 1 + docs.count() // NARROW)
     clean, rest = split_by_id(docs, ids)
     return clean.unionByName(rest.join(ids, rest["doc_id"].cast("long") == ids["_id"], "left_anti"))
