@@ -198,7 +198,8 @@ def _whole_bins(length: int, bins: int):
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, bins: int = OPEN_BINS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    rows = stored(pieces(docs, path or vocabulary_path(), length, bins), 1 + docs.count() // WIDE)
+    # before the packer, which numbers its bins by task
+    rows = stored(pieces(docs.coalesce(1 + docs.count() // WIDE), path or vocabulary_path(), length, bins))
     left = rows.where("piece = -1").select("bin", "length")
     tasks = 1 + left.count() // BINS_PER_TASK
     moved = stored(left.repartition(tasks, F.xxhash64("bin")).mapInArrow(_whole_bins(length, bins), "bin long, sequence_id long, shift long"))
