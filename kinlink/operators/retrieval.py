@@ -1,8 +1,10 @@
-"""Candidate retrieval: weighted token overlap, top k in both directions, merged views.
+"""Candidate retrieval: weighted key overlap, top k in both directions, merged views.
 
-Token tables are (part, eid, key), distinct.  A key seeds a search only if at most ``seed_cap``
-documents of the partition have it, which bounds the fan-out of a query; common keys are added to the
-best ``n_verify`` of each query only.
+Key tables are (part, eid, key), distinct.  A key seeds a search if at most ``seed_cap`` records of the
+other side have it, or if it is one of the ``rarest`` keys of the searching record, so that a record of
+common keys only is searched too.  Keys that seed neither direction are added to the best ``verify`` of
+each record only.  Keys, weights, postings and norms are computed and written once; one join serves both
+directions, as an overlap is the same seen from either side.
 """
 
 from __future__ import annotations
@@ -11,6 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import saved
+
+#: Of the reference's stage: postings up to which a key seeds, pairs verified and kept, by direction.
+SEED_CAP, VERIFY, KEEP, TRIM = (3000, 1000), (400, 200), (40, 8), (30, 2)
+RAREST = 3
+
 
 def key_weights(keys: DataFrame) -> DataFrame:
     """part, key, idf = max(ln(N / df), 0.01) over all records of the partition."""
@@ -22,24 +30,52 @@ def row_norms(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("part", "eid").agg(F.sqrt(F.sum("idf")).alias("norm"))
 
 
-def topk_overlap(queries: DataFrame, docs: DataFrame, seed_cap: int = 200, n_verify: int = 50, k: int = 10) -> DataFrame:
-    """(part, q, d, score, rank from 0) of the k documents with the largest normalised overlap of each query."""
-    both = queries.select("part", "eid", "key").unionByName(docs.select("part", "eid", "key")).distinct()
-    weights = key_weights(both)
-    lengths = docs.groupBy("part", "key").agg(F.count(F.lit(1)).alias("posting"))
-    weighted = both.join(weights.select("part", "key", "idf"), ["part", "key"])
-    norms = row_norms(weighted)
-    q = queries.join(weights.select("part", "key", "idf"), ["part", "key"]).join(lengths, ["part", "key"]).withColumnRenamed("eid", "q")
-    d = docs.select("part", "key", F.col("eid").alias("d"))
-    norm_d, norm_q = norms.select("part", F.col("eid").alias("d"), F.col("norm").alias("norm_d")), norms.select("part", F.col("eid").alias("q"), F.col("norm").alias("norm_q"))
-    seeds = q.where(F.col("posting") <= seed_cap).join(d, ["part", "key"]).groupBy("part", "q", "d").agg(F.sum("idf").alias("partial")).join(norm_d, ["part", "d"])
-    order = W.partitionBy("part", "q").orderBy(F.desc(F.round(F.col("partial") / F.col("norm_d"), 9)), "d")
-    kept = seeds.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n_verify).drop("_k")
-    common = kept.select("part", "q", "d").join(q.where(F.col("posting") > seed_cap).select("part", "q", "key", "idf"), ["part", "q"]).join(d, ["part", "d", "key"], "left_semi")
-    total = kept.join(common.groupBy("part", "q", "d").agg(F.sum("idf").alias("more")), ["part", "q", "d"], "left").join(norm_q, ["part", "q"])
-    score = F.round((F.col("partial") + F.coalesce("more", F.lit(0.0))) / (F.col("norm_q") * F.col("norm_d")), 6)
-    ranked = total.select("part", "q", "d", score.alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("part", "q").orderBy(F.desc("score"), "d")) - 1)
-    return ranked.where(F.col("rank") < k)
+def weighted_keys(s1_keys: DataFrame, r_keys: DataFrame) -> DataFrame:
+    """part, key, eid, is_s1 with the key's idf and postings on both sides, the record's norm, and the key's place among the record's by the other side's postings."""
+    k = s1_keys.select("part", "eid", "key", F.lit(True).alias("is_s1")).unionByName(r_keys.select("part", "eid", "key", F.lit(False).alias("is_s1"))).distinct()
+    n = k.groupBy("part").agg(F.countDistinct("eid").alias("n"))
+    stats = k.groupBy("part", "key").agg(F.sum(F.col("is_s1").cast("int")).alias("post_s1"), F.sum((~F.col("is_s1")).cast("int")).alias("post_r"), F.countDistinct("eid").alias("df"))
+    stats = stats.join(n, "part").select("part", "key", "post_s1", "post_r", F.greatest(F.log(F.col("n") / F.col("df")), F.lit(0.01)).alias("idf"))
+    own = W.partitionBy("part", "is_s1", "eid")
+    other = F.when(F.col("is_s1"), F.col("post_r")).otherwise(F.col("post_s1"))
+    rows = k.join(stats, ["part", "key"])
+    return rows.select("*", F.sqrt(F.sum("idf").over(own)).alias("norm"), F.row_number().over(own.orderBy(F.when(other == 0, 1).otherwise(0), other, "key")).alias("place"))
+
+
+def overlap_pairs(s1_keys: DataFrame, r_keys: DataFrame, seed_cap: tuple[int, int] = SEED_CAP, verify: tuple[int, int] = VERIFY, rarest: int = RAREST) -> DataFrame:
+    """part, s1, r, score and, per direction, whether the pair was among the verified: ``from_s1``, ``from_r``."""
+    keys = saved(weighted_keys(s1_keys, r_keys))
+    seeds_s1 = (F.col("post_r") <= seed_cap[0]) | (F.col("place_s1") <= rarest)
+    seeds_r = (F.col("post_s1") <= seed_cap[1]) | (F.col("place_r") <= rarest)
+    left = keys.where("is_s1 AND post_r > 0").select("part", "key", F.col("eid").alias("s1"), "idf", "post_s1", "post_r", F.col("place").alias("place_s1"), F.col("norm").alias("norm_s1"))
+    right = keys.where("NOT is_s1 AND post_s1 > 0").select("part", "key", F.col("eid").alias("r"), F.col("place").alias("place_r"), F.col("norm").alias("norm_r"))
+    seeded = left.join(right, ["part", "key"]).where(seeds_s1 | seeds_r)
+    sums = seeded.groupBy("part", "s1", "r").agg(F.sum(F.when(seeds_s1, F.col("idf")).otherwise(0.0)).alias("by_s1"), F.sum(F.when(seeds_r, F.col("idf")).otherwise(0.0)).alias("by_r"), F.sum("idf").alias("total"), F.first("norm_s1").alias("norm_s1"), F.first("norm_r").alias("norm_r"))
+    best_s1 = F.row_number().over(W.partitionBy("part", "s1").orderBy(F.desc(F.round(F.col("by_s1") / F.col("norm_r"), 9)), "r"))
+    best_r = F.row_number().over(W.partitionBy("part", "r").orderBy(F.desc(F.round(F.col("by_r") / F.col("norm_s1"), 9)), "s1"))
+    # a rank within the limit is a group limit that Spark pushes below the window, so each direction filters on its own
+    one = sums.where("by_s1 > 0").withColumn("_k", best_s1).where(F.col("_k") <= verify[0]).select("part", "s1", "r", "total", "norm_s1", "norm_r", F.lit(True).alias("from_s1"), F.lit(False).alias("from_r"))
+    two = sums.where("by_r > 0").withColumn("_k", best_r).where(F.col("_k") <= verify[1]).select("part", "s1", "r", "total", "norm_s1", "norm_r", F.lit(False).alias("from_s1"), F.lit(True).alias("from_r"))
+    kept = saved(one.unionByName(two).groupBy("part", "s1", "r").agg(*(F.first(c).alias(c) for c in ("total", "norm_s1", "norm_r")), *(F.max(c).alias(c) for c in ("from_s1", "from_r"))))
+    # what common keys add: those that did not seed this pair from either side
+    common = kept.select("part", "s1", "r").join(left.where((F.col("post_r") > seed_cap[0]) & (F.col("place_s1") > rarest) & (F.col("post_s1") > seed_cap[1])), ["part", "s1"]).join(right.where(F.col("place_r") > rarest), ["part", "r", "key"])
+    more = common.groupBy("part", "s1", "r").agg(F.sum("idf").alias("more"))
+    score = F.round((F.col("total") + F.coalesce("more", F.lit(0.0))) / (F.col("norm_s1") * F.col("norm_r")), 6)
+    return kept.join(more, ["part", "s1", "r"], "left").select("part", "s1", "r", score.alias("score"), "from_s1", "from_r")
+
+
+def topk_of_s1(pairs: DataFrame, k: int = KEEP[0]) -> DataFrame:
+    """(part, q, d, score, rank from 0): of each entity the k records with the largest normalised overlap."""
+    return pairs.where("from_s1").select("part", F.col("s1").alias("q"), F.col("r").alias("d"), "score").withColumn("rank", F.row_number().over(W.partitionBy("part", "q").orderBy(F.desc("score"), "d")) - 1).where(F.col("rank") < k)
+
+
+def topk_of_r(pairs: DataFrame, k: int = KEEP[1]) -> DataFrame:
+    """The same with records searching entities."""
+    return pairs.where("from_r").select("part", F.col("r").alias("q"), F.col("s1").alias("d"), "score").withColumn("rank", F.row_number().over(W.partitionBy("part", "q").orderBy(F.desc("score"), "d")) - 1).where(F.col("rank") < k)
+
+
+def topk_overlap(queries: DataFrame, docs: DataFrame, seed_cap: int = SEED_CAP[0], verify: int = VERIFY[0], k: int = KEEP[0]) -> DataFrame:
+    return topk_of_s1(overlap_pairs(queries, docs, (seed_cap, 0), (verify, 0), RAREST), k)
 
 
 def union_trim(forward: DataFrame, backward: DataFrame, trim_s1: int, trim_r: int) -> DataFrame:
@@ -50,8 +86,10 @@ def union_trim(forward: DataFrame, backward: DataFrame, trim_s1: int, trim_r: in
     return kept.select("s1", "r", F.greatest("a", "b").alias("score"), F.coalesce("rank_s1", F.lit(-1)).alias("rank_s1"), F.coalesce("rank_r", F.lit(-1)).alias("rank_r"))
 
 
-def search_view(s1_keys: DataFrame, r_keys: DataFrame, trim_s1: int = 5, trim_r: int = 2, **search: int) -> DataFrame:
-    return union_trim(topk_overlap(s1_keys, r_keys, **search), topk_overlap(r_keys, s1_keys, **search), trim_s1, trim_r)
+def search_view(s1_keys: DataFrame, r_keys: DataFrame, keep: tuple[int, int] = KEEP, trim: tuple[int, int] = TRIM, **search) -> DataFrame:
+    """Both directions from one table of pairs, trimmed."""
+    pairs = saved(overlap_pairs(s1_keys, r_keys, **search))
+    return union_trim(topk_of_s1(pairs, keep[0]), topk_of_r(pairs, keep[1]), *trim)
 
 
 def merge_views(views: dict[int, DataFrame]) -> DataFrame:
@@ -64,11 +102,14 @@ def merge_views(views: dict[int, DataFrame]) -> DataFrame:
 
 
 def partition_by_country(records: DataFrame) -> DataFrame:
-    """part for each record; an empty label joins every partition of the others."""
-    labels = records.where(F.trim("country") != "").select(F.trim("country").alias("part")).distinct()
-    named = records.where(F.trim("country") != "").withColumn("part", F.trim("country"))
-    all_labels = labels.agg(F.collect_set("part").alias("parts"))  # one row: the labels are a small open set
-    return named.unionByName(records.where(F.trim("country") == "").join(F.broadcast(all_labels)).withColumn("part", F.explode("parts")).drop("parts"))
+    """part for each record: its trimmed label; a record without one joins every partition of the others (the empty one if there is no other)."""
+    label = F.trim(F.coalesce(F.col("country"), F.lit("")))
+    rows = records.withColumn("part", label)
+    labels = rows.where("part != ''").select("part").distinct()
+    # labels are an open but small set; an unlabelled record meets each through the constant key
+    each = labels.select(F.lit("").alias("_empty"), F.col("part").alias("_part"))
+    spread = rows.where("part = ''").join(each, F.col("part") == F.col("_empty"), "left").withColumn("part", F.coalesce("_part", F.lit(""))).drop("_empty", "_part")
+    return rows.where("part != ''").unionByName(spread)
 
 
 def exact_key_rescue(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -14,10 +14,11 @@ from ..functions import text as T
 from ..operators import graph as G
 from ..operators import keys as K
 from ..operators import retrieval as R
+from ..operators.tables import saved
+from .registry import QUERIES, SQL, query
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-GRID = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+#: The reference's thresholds: 0.30 to 0.95 by 0.01.
+GRID = [k / 100 for k in range(30, 96)]
 
 _P = "((l_quantity * 7 + round(l_discount * 100) * 13 + round(l_tax * 100) * 29 + l_linenumber * 31) % 97 + 0.5) / 98"
 _EDGES = f"""edges AS (SELECT l_orderkey AS s1, l_partkey AS r, max(CAST({_P} AS DOUBLE)) AS p, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y, CAST(2 + l_partkey % 2 AS BIGINT) AS source
@@ -30,7 +31,7 @@ _ENTITY = _MATCHES + ", " + _UNIVERSE + f""", counts AS (SELECT u.s1, grp,
     (SELECT count(*) FROM truth t WHERE t.s1 = u.s1) AS n_true, (SELECT count(*) FROM matches m WHERE m.s1 = u.s1) AS n_pred,
     (SELECT count(*) FROM matches m JOIN truth t ON m.s1 = t.s1 AND m.r = t.r WHERE m.s1 = u.s1) AS n_hit FROM universe u),
   scored AS (SELECT *, round({_F05}, 6) AS f05 FROM counts)"""
-_RECORDS = "records AS (SELECT doc_id AS eid, coalesce(lang, '') AS country, array_to_string(list_slice(string_split_regex(coalesce(text, ''), '\\s+'), 1, 8), ' ') AS name FROM documents)"
+_RECORDS = "records AS (SELECT doc_id AS eid, coalesce(lang, '') AS country, coalesce(text, '') AS name FROM documents)"
 _FOLD = f"lower(regexp_replace(regexp_replace(translate(name, '{T.ACCENTED}', '{T.UNACCENTED}'), '[\\x{{0300}}-\\x{{036f}}]', '', 'g'), '[^\\x00-\\x7F]', ' ', 'g'))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.LEGAL + T.NAME_STOP) + "]"
 _TOKENS = f"list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))"
@@ -62,23 +63,14 @@ def truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    name = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), "\\s+"), 1, 8), " ")
-    return _read(spark, d, "documents").select(F.col("doc_id").alias("eid"), F.coalesce("lang", F.lit("")).alias("country"), name.alias("name"))
+    """Documents as records: the whole text is the name."""
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("eid"), F.coalesce("lang", F.lit("")).alias("country"), F.coalesce("text", F.lit("")).alias("name"))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     return G.per_entity_f05(universe(spark, d), truth(spark, d), matches(spark, d))
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-    return add
-
-
 def _edge_query(name: str, f, sql: str, source=edges) -> None:
     query(name, sql)(lambda spark, d: f(source(spark, d)))
 
@@ -185,47 +177,52 @@ def _numbers(spark, d):
 
 # retrieval
 
-@query("idf_block", f"""WITH {_RECORDS}, k AS (SELECT DISTINCT country AS part, eid, unnest({_TOKENS}) AS key FROM records), n AS (SELECT part, count(DISTINCT eid) AS n FROM k GROUP BY part)
+_KEYS = f"""{_RECORDS}, labels AS (SELECT DISTINCT trim(country) AS part FROM records WHERE trim(country) <> ''), parts AS (SELECT eid, name, trim(country) AS part FROM records WHERE trim(country) <> ''
+    UNION ALL SELECT eid, name, coalesce(part, '') FROM (SELECT eid, name FROM records WHERE trim(country) = '') LEFT JOIN labels ON true),
+  k AS (SELECT DISTINCT part, eid, unnest({_TOKENS}) AS key FROM parts), n AS (SELECT part, count(DISTINCT eid) AS n FROM k GROUP BY part)"""
+
+
+@query("idf_block", f"""WITH {_KEYS}
   SELECT part, key, count(*) AS df, round(greatest(ln(any_value(n) / count(*)), 0.01), 6) AS idf FROM k JOIN n USING (part) GROUP BY part, key""")
 def _idf(spark, d):
     return R.key_weights(keys(spark, d)).withColumn("idf", F.round("idf", 6))
 
 
 def keys(spark, d):
-    return records(spark, d).select(F.col("country").alias("part"), "eid", F.explode(T.name_tokens(F.col("name"))).alias("key")).distinct()
+    """Distinct name tokens of each record, in each of its partitions."""
+    return R.partition_by_country(records(spark, d)).select("part", "eid", F.explode(F.array_distinct(T.name_tokens(F.col("name")))).alias("key"))
 
 
 def _sides(spark, d):
-    k = keys(spark, d)
+    k = saved(keys(spark, d))
     return k.where("eid % 2 = 0"), k.where("eid % 2 = 1")
 
 
-_TOPK = f"""{_RECORDS}, k AS (SELECT DISTINCT country AS part, eid, unnest({_TOKENS}) AS key FROM records), n AS (SELECT part, count(DISTINCT eid) AS n FROM k GROUP BY part),
-  w AS (SELECT part, key, greatest(ln(any_value(n) / count(*)), 0.01) AS idf FROM k JOIN n USING (part) GROUP BY part, key), kw AS (SELECT * FROM k JOIN w USING (part, key)),
-  norms AS (SELECT part, eid, sqrt(sum(idf)) AS norm FROM kw GROUP BY part, eid)"""
-
-
-def _direction(name: str, q: int, d: int) -> str:
-    return f""", {name}_post AS (SELECT part, key, count(*) AS posting FROM k WHERE eid % 2 = {d} GROUP BY part, key),
-  {name}_all AS (SELECT a.part, a.eid AS q, b.eid AS d, sum(CASE WHEN posting <= 200 THEN a.idf ELSE 0 END) AS partial, sum(a.idf) AS total, max(CASE WHEN posting <= 200 THEN 1 ELSE 0 END) AS seeded
-    FROM kw a JOIN k b USING (part, key) JOIN {name}_post USING (part, key) WHERE a.eid % 2 = {q} AND b.eid % 2 = {d} GROUP BY a.part, a.eid, b.eid),
-  {name}_v AS (SELECT t.*, nq.norm AS nq, nd.norm AS nd, row_number() OVER (PARTITION BY t.part, q ORDER BY round(partial / nd.norm, 9) DESC, d) AS v FROM {name}_all t JOIN norms nq ON nq.part = t.part AND nq.eid = q JOIN norms nd ON nd.part = t.part AND nd.eid = d WHERE seeded = 1),
-  {name}_s AS (SELECT part, q, d, round(total / (nq * nd), 6) AS score FROM {name}_v WHERE v <= 50),
-  {name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY part, q ORDER BY score DESC, d) - 1 AS INTEGER) AS rank FROM {name}_s) WHERE rank < 10)"""
+#: Whole texts have some hundred keys where a business name has ten, so a key seeds up to fewer records here; all else is the reference's.
+SEEDS = (300, 200)
+_TOPK = f"""{_KEYS}, stats AS (SELECT part, key, count(*) FILTER (eid % 2 = 0) AS post_s1, count(*) FILTER (eid % 2 = 1) AS post_r, greatest(ln(any_value(n) / count(*)), 0.01) AS idf FROM k JOIN n USING (part) GROUP BY part, key),
+  kw AS (SELECT *, sqrt(sum(idf) OVER (PARTITION BY part, eid)) AS norm, CASE WHEN eid % 2 = 0 THEN post_r ELSE post_s1 END AS other FROM k JOIN stats USING (part, key)),
+  kp AS (SELECT *, row_number() OVER (PARTITION BY part, eid ORDER BY CASE WHEN other = 0 THEN 1 ELSE 0 END, other, key) AS place FROM kw),
+  joined AS (SELECT a.part, a.eid AS s1, b.eid AS r, a.idf, a.norm AS norm_s1, b.norm AS norm_r, a.post_r <= {SEEDS[0]} OR a.place <= {R.RAREST} AS by_s1, a.post_s1 <= {SEEDS[1]} OR b.place <= {R.RAREST} AS by_r
+    FROM kp a JOIN kp b ON a.part = b.part AND a.key = b.key WHERE a.eid % 2 = 0 AND b.eid % 2 = 1),
+  sums AS (SELECT part, s1, r, sum(CASE WHEN by_s1 THEN idf ELSE 0 END) AS by_s1, sum(CASE WHEN by_r THEN idf ELSE 0 END) AS by_r, round(sum(idf) / (any_value(norm_s1) * any_value(norm_r)), 6) AS score, any_value(norm_s1) AS norm_s1, any_value(norm_r) AS norm_r FROM joined GROUP BY part, s1, r),
+  f AS (SELECT part, s1 AS q, r AS d, score, CAST(row_number() OVER (PARTITION BY part, s1 ORDER BY score DESC, r) - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part, s1 ORDER BY round(by_s1 / norm_r, 9) DESC, r) AS v FROM sums WHERE by_s1 > 0) WHERE v <= {R.VERIFY[0]}),
+  b AS (SELECT part, r AS q, s1 AS d, score, CAST(row_number() OVER (PARTITION BY part, r ORDER BY score DESC, s1) - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part, r ORDER BY round(by_r / norm_s1, 9) DESC, s1) AS v FROM sums WHERE by_r > 0) WHERE v <= {R.VERIFY[1]})"""
 
 
-@query("topk_overlap", f"WITH {_TOPK}{_direction('f', 0, 1)} SELECT * FROM f")
+@query("topk_overlap", f"WITH {_TOPK} SELECT * FROM f WHERE rank < {R.KEEP[0]}")
 def _topk(spark, d):
-    return R.topk_overlap(*_sides(spark, d))
+    return R.topk_overlap(*_sides(spark, d), seed_cap=SEEDS[0])
 
 
-_TRIMMED = f"""WITH {_TOPK}{_direction('f', 0, 1)}{_direction('b', 1, 0)},
-  view AS (SELECT coalesce(f.q, b.d) AS s1, coalesce(f.d, b.q) AS r, greatest(f.score, b.score) AS score, coalesce(f.rank, -1) AS rank_s1, coalesce(b.rank, -1) AS rank_r FROM f FULL JOIN b ON f.q = b.d AND f.d = b.q WHERE f.rank < 5 OR b.rank < 2)"""
+_TRIMMED = f"""WITH {_TOPK},
+  view AS (SELECT coalesce(f.q, b.d) AS s1, coalesce(f.d, b.q) AS r, greatest(f.score, b.score) AS score, coalesce(f.rank, -1) AS rank_s1, coalesce(b.rank, -1) AS rank_r
+    FROM (SELECT * FROM f WHERE rank < {R.KEEP[0]}) f FULL JOIN (SELECT * FROM b WHERE rank < {R.KEEP[1]}) b ON f.q = b.d AND f.d = b.q WHERE f.rank < {R.TRIM[0]} OR b.rank < {R.TRIM[1]})"""
 
 
 @query("search_view", _TRIMMED + " SELECT * FROM view")
 def _view(spark, d):
-    return R.search_view(*_sides(spark, d))
+    return R.search_view(*_sides(spark, d), seed_cap=SEEDS)
 
 
 @query("linkage_slice", f"""{_TRIMMED}, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, s1) AS k FROM view) WHERE k = 1 AND score >= 0.3),
@@ -234,7 +231,7 @@ def _view(spark, d):
   SELECT s1, n_true, n_pred, CAST(n_hit AS BIGINT) AS n_hit, round({_F05}, 6) AS f05 FROM counts""")
 def _slice(spark, d):
     """Flagship: records, tokens, retrieval both ways, one owner, threshold, F0.5 per entity."""
-    own = G.argmax_owner(R.search_view(*_sides(spark, d)).withColumnRenamed("score", "p")).where("p >= 0.3")
+    own = G.argmax_owner(R.search_view(*_sides(spark, d), seed_cap=SEEDS).withColumnRenamed("score", "p")).where("p >= 0.3")
     whole = _read(spark, d, "documents").select(F.col("doc_id"), F.lower("text").alias("t"))
     pairs = whole.where("doc_id % 2 = 0").select(F.col("doc_id").alias("s1"), "t").join(whole.where("doc_id % 2 = 1").select(F.col("doc_id").alias("r"), "t"), "t").select("s1", "r")
     return G.per_entity_f05(whole.where("doc_id % 2 = 0").select(F.col("doc_id").alias("s1")), pairs, own)
