@@ -215,7 +215,7 @@ def per_entity_f05(universe: DataFrame, truth: DataFrame, pred: DataFrame) -> Da
 
 def report(scores: DataFrame, groups: DataFrame) -> DataFrame:
     """Macro F0.5 of all and of each group (groups: s1, grp)."""
-    return scores.join(groups, "s1").groupingSets([["grp"], []], "grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f05"), 6).alias("macro_f05")).select(F.coalesce("grp", F.lit("all")).alias("grp"), "n", "macro_f05")
+    return scores.join(groups, "s1").groupingSets([["grp"], []], "grp").agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.round(F.avg("f05"), 6).alias("macro_f05")).select(F.when(F.col("_g") == 1, "all").otherwise(F.coalesce("grp", F.lit("(none)"))).alias("grp"), "n", "macro_f05")
 
 
 def tune_threshold(universe: DataFrame, truth: DataFrame, owned: DataFrame, grid: list[float]) -> DataFrame:
@@ -245,17 +245,19 @@ def loss_buckets(truth: DataFrame, edges: DataFrame, owned: DataFrame, pred: Dat
     return fp.unionByName(fn).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def reliability_table(edges: DataFrame, bins: int = 15) -> DataFrame:
+def reliability_table(edges: DataFrame, bins: int = 15, digits: int = 6) -> DataFrame:
     k = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("long")
-    return edges.groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("rate"))
+    return edges.groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), digits).alias("mean_p"), F.round(F.avg("y"), digits).alias("rate"))
 
 
-def rank_auc(edges: DataFrame) -> DataFrame:
-    """Area under the ROC curve with averaged ties, from one row per distinct score."""
-    by_p = edges.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    # distinct scores are few next to the edges; their running total is a window over that summary
-    below = F.coalesce(F.sum("neg").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = by_p.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
+def rank_auc(edges: DataFrame, parts: int = 4096) -> DataFrame:
+    """Area under the ROC curve with averaged ties: totals of score ranges first, then the scores within each range, so that no task sees all scores."""
+    k = F.least(F.floor(F.col("p") * parts), F.lit(parts - 1)).cast("int")
+    by_p = edges.groupBy(k.alias("k"), "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    # one row per range: at most ``parts`` of them are in one window
+    ranges = by_p.groupBy("k").agg(F.sum("neg").alias("n")).select("k", F.coalesce(F.sum("n").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    below = F.col("before") + F.coalesce(F.sum("neg").over(W.partitionBy("k").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = by_p.join(F.broadcast(ranges), "k").select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
     return rows.agg(F.round(F.sum("wins") / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
@@ -272,4 +274,4 @@ def bag_scores(tables: DataFrame) -> DataFrame:
 def zmean_logits(tables: DataFrame) -> DataFrame:
     """Logits standardised per run (sample deviation), then averaged by pair."""
     stats = tables.groupBy("run").agg(F.avg("z").alias("m"), F.stddev_samp("z").alias("s"))
-    return tables.join(F.broadcast(stats), "run").groupBy("s1", "r").agg(F.round(F.avg((F.col("z") - F.col("m")) / F.col("s")), 6).alias("z"))
+    return tables.join(F.broadcast(stats), "run").groupBy("s1", "r").agg((F.round(F.avg((F.col("z") - F.col("m")) / F.col("s")), 6) + F.lit(0.0)).alias("z"))
