@@ -61,7 +61,7 @@ def retained(prints: DataFrame) -> DataFrame:
     schema = "digest string, best struct<n_chars: bigint, rank: bigint, locator: string>, group_size bigint"
     spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
     if source:
-        for key, value in {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}.items():
+        for key, value in {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64", "spark.sql.streaming.stateStore.maintenanceInterval": "10s", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}.items():
             saved[key] = spark.conf.get(key, None)
             spark.conf.set(key, value)
         # the complement of an id falls as the id rises, and cannot overflow

@@ -34,8 +34,8 @@ OPEN_BINS = 1024
 #: Open bins that one task of a later round takes.
 BINS_PER_TASK = 20_000
 #: Words, and letter runs, whose ids a worker remembers.
-REMEMBERED = 800_000
-REMEMBERED_RUNS = 1_200_000
+REMEMBERED = 300_000
+REMEMBERED_RUNS = 400_000
 _BLANKS = re.compile("[\t\n\x0b\x0c\r ]+")
 #: Blank to Python, but not to the vocabulary.
 _SEPARATOR = re.compile("[\x1c-\x1f]")
@@ -79,19 +79,22 @@ class Encoder:
             else:
                 self.runs.update((w, self._ids(w).tobytes()) for w in part)
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        if len(self.runs) + len(words) > REMEMBERED_RUNS:
-            self.runs.clear()
+    def learn(self, words: set[str], batch: set[str]) -> None:
+        """Ids of ``words``. Where too many are remembered, those of the present batch stay."""
         runs, known, plain, match = self.runs, self.words, [], _PLAIN.fullmatch
+        if len(known) + len(words) > REMEMBERED:
+            known = self.words = {w: known[w] for w in batch if w in known}
         for word in words:
             if found := match(word):
                 run, marks = found.groups()
                 plain.append((word, run.lower(), marks))
             else:
                 known[word] = self._ids(word).tobytes()
-        self._learn_runs(list({x for _, run, marks in plain for x in (run, marks)}.difference(runs, ("",))))
+        new = {x for _, run, marks in plain for x in (run, marks)}
+        if len(runs) + len(new) > REMEMBERED_RUNS:
+            used = {f[1].lower() for w in batch if (f := match(w))}
+            runs = self.runs = {r: runs[r] for r in used | new if r in runs}
+        self._learn_runs(list(new.difference(runs, ("",))))
         runs[""] = b""
         for word, run, marks in plain:
             known[word] = runs[run] + runs[marks]
@@ -102,7 +105,7 @@ class Encoder:
             new = set().union(*split)
             missing = new.difference(self.words)
             if missing:
-                self.learn(new if len(self.words) + len(missing) > REMEMBERED else missing)
+                self.learn(missing, new)
             known = self.words
             for words in split:
                 yield np.frombuffer(b"".join(map(known.__getitem__, words)) + b"\0\0\0\0", "<u4")

@@ -63,8 +63,9 @@ def dropped(*tables: DataFrame | None) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
-    """Bound what one Arrow batch holds, whatever the length of the texts. Spark reads these settings when a plan runs, so they stay set."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Bound what one Arrow batch and one batch of a scan hold, whatever the length of the texts. Spark reads these settings when a plan runs, so they stay set."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 512)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -83,8 +84,8 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-#: Bits of a broadcast set of ids: 8 MB, whatever the number of ids.
-SET_BITS = 1 << 26
+#: Bits of a broadcast set of ids: 2 MB, whatever the number of ids.
+SET_BITS = 1 << 24
 _BITMAP = 32768
 
 
