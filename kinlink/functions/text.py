@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Word lists and patterns that results depend on.
 LEGAL = "inc incorporated llc ltd limited pvt private corp corporation co company cos lp llp pllc pc plc gmbh sarl sas sasu eurl sa sci snc ei".split()
@@ -21,22 +23,39 @@ PHONETIC = (("ph", "f"), ("bh", "b"), ("dh", "d"), ("th", "t"), ("kh", "k"), ("g
 SKIPPED = ("rue r avenue ave av boulevard bd blvd impasse imp allee all chemin ch route rte place pl quai cours faubourg fg de du des la le les l d st saint no nr n nos bis ter quater street road rd lane ln "
            "drive dr the hno sno h plot flat door house shop ward block sector floor fl unit apt suite ste survey khasra gat gut").split()
 
+DEPARTMENT_REGION = {
+    "hauts de france": ("aisne", "nord", "oise", "pas de calais", "somme"),
+    "nouvelle aquitaine": ("charente", "charente maritime", "correze", "creuse", "dordogne", "gironde", "landes", "lot et garonne", "pyrenees atlantiques", "deux sevres", "vienne", "haute vienne"),
+    "pays de la loire": ("loire atlantique", "maine et loire", "mayenne", "sarthe", "vendee"),
+}
+NUMBER_AND_STREET = "(?:^|[^0-9])0*([0-9]+)[^a-z0-9]*([a-z]{2,})"
+
 #: Latin letters with a one-letter decomposition, from the Unicode tables.
 _PLAIN = {chr(c): d[0] for c in range(0xC0, 0x250) for d in [unicodedata.normalize("NFKD", chr(c))] if d[0].isascii() and all(map(unicodedata.combining, d[1:]))}
 ACCENTED, UNACCENTED = "".join(_PLAIN), "".join(_PLAIN.values())
 
 
+@F.pandas_udf(StringType())
+def _decomposed(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKD")
+
+
+def decomposed(text: Column) -> Column:
+    """NFKD without combining marks: by a table where all letters have one-letter forms, else by an Arrow UDF that gets those rows only."""
+    odd = text.rlike(f"[^\\x00-\\x7F\\u0300-\\u036f{ACCENTED}]")
+    return F.regexp_replace(F.coalesce(_decomposed(F.when(odd, text)), F.translate(text, ACCENTED, UNACCENTED)), "[\\u0300-\\u036f]", "")
+
+
 def fold(text: Column) -> Column:
     """Accents off, anything else outside ASCII to a space, lower case."""
-    marks = F.regexp_replace(F.translate(text, ACCENTED, UNACCENTED), "[\\u0300-\\u036f]", "")
-    return F.lower(F.regexp_replace(marks, "[^\\x00-\\x7F]", " "))
+    return F.lower(F.regexp_replace(decomposed(text), "[^\\x00-\\x7F]", " "))
 
 
 def _words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def _mapped(tokens: Column, table: dict[str, str]) -> Column:
+def dict_map_tokens(tokens: Column, table: dict[str, str]) -> Column:
     known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), t))
 
@@ -62,14 +81,19 @@ def ordinals_to_digits(folded: Column) -> Column:
 
 
 def address_text(text: Column) -> Column:
-    return F.regexp_replace(ordinals_to_digits(fold(text)), "([0-9])(st|nd|rd|th)\\b", "$1")
+    """Folded, ordinals as digits, a French department that is a whole comma part as its region."""
+    out = F.regexp_replace(ordinals_to_digits(fold(text)), "([0-9])(st|nd|rd|th)\\b", "$1")
+    for region, departments in DEPARTMENT_REGION.items():
+        names = "|".join(d.replace(" ", "[ -]+") for d in sorted(departments, key=len, reverse=True))
+        out = F.regexp_replace(out, f"(^|,)\\s*(?:{names})\\s*(?=,|$)", f"$1 {region} ")
+    return out
 
 
 def address_words(text: Column) -> Column:
     """Letters only; a lone r is rue; markers dropped; street types shortened."""
-    words = _mapped(F.split(address_text(text), "[^a-z]+"), {"r": "rue"})
+    words = dict_map_tokens(F.split(address_text(text), "[^a-z]+"), {"r": "rue"})
     stop = _words(ADDR_STOP)
-    return _mapped(F.filter(words, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)), STREET)
+    return dict_map_tokens(F.filter(words, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)), STREET)
 
 
 def address_numbers(text: Column) -> Column:
@@ -87,7 +111,7 @@ def name_key(country: Column, text: Column) -> Column:
 
 def numstreet_key(text: Column) -> Column:
     plain = F.regexp_replace(address_text(text), "\\b(?:" + "|".join(SKIPPED) + ")\\b", " ")
-    pattern = "(?:^|[^0-9])0*([0-9]+)[^a-z0-9]*([a-z]{2,})"
+    pattern = NUMBER_AND_STREET
     return F.when(plain.rlike(pattern), F.concat_ws("|", F.regexp_extract(plain, pattern, 1), F.regexp_extract(plain, pattern, 2))).otherwise("")
 
 

@@ -13,17 +13,21 @@ ID_PATTERN = "^S[123]-(0|[1-9][0-9]{0,8})$"
 SOURCE_STEP = 1_000_000_000
 
 
-def eid_encode(text: Column) -> Column:
-    """``S<source>-<number>`` to ``source * 10^9 + number``; null for anything else."""
-    return F.when(text.rlike(ID_PATTERN), F.substring(text, 2, 1).cast("long") * SOURCE_STEP + F.substring(text, 4, 9).cast("long"))
+def eid_encode(text: Column, strict: bool = False) -> Column:
+    """``S<source>-<number>`` to ``source * 10^9 + number``; anything else is null, or an error if ``strict``."""
+    good = F.substring(text, 2, 1).cast("long") * SOURCE_STEP + F.substring(text, 4, 9).cast("long")
+    bad = F.raise_error(F.concat(F.lit("bad entity id: "), F.coalesce(text, F.lit("null")))).cast("long") if strict else F.lit(None).cast("long")
+    return F.when(text.rlike(ID_PATTERN), good).otherwise(bad)
 
 
 def source_of(eid: Column) -> Column:
     return F.floor(eid / SOURCE_STEP).cast("long")
 
 
-def eid_decode(eid: Column) -> Column:
-    return F.concat(F.lit("S"), source_of(eid).cast("string"), F.lit("-"), F.pmod(eid, F.lit(SOURCE_STEP)).cast("string"))
+def eid_decode(eid: Column, strict: bool = False) -> Column:
+    """The id string; of a source other than 1 to 3 null, or an error if ``strict``."""
+    bad = F.raise_error(F.concat(F.lit("bad eid: "), F.coalesce(eid.cast("string"), F.lit("null")))).cast("string") if strict else F.lit(None).cast("string")
+    return F.when(source_of(eid).between(1, 3), F.concat(F.lit("S"), source_of(eid).cast("string"), F.lit("-"), F.pmod(eid, F.lit(SOURCE_STEP)).cast("string"))).otherwise(bad)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

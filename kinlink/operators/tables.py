@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame, files: int | None = None) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` (a local session without it: its warehouse) and read back; gone when the driver ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir`` (a local session without it: its warehouse) that goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -19,5 +18,11 @@ def saved(df: DataFrame, files: int | None = None) -> DataFrame:
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
     store.mkdirs(where)
     store.deleteOnExit(where)
-    (df if files is None else df.coalesce(files)).write.mode("overwrite").parquet(where.toString())
-    return spark.read.schema(df.schema).parquet(where.toString())
+    return where.toString()
+
+
+def saved(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` written to a ``folder`` and read back, by ``files`` tasks at most."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
+    (df if files is None else df.coalesce(files)).write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

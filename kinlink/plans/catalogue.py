@@ -32,7 +32,7 @@ _ENTITY = _MATCHES + ", " + _UNIVERSE + f""", counts AS (SELECT u.s1, grp,
     (SELECT count(*) FROM matches m JOIN truth t ON m.s1 = t.s1 AND m.r = t.r WHERE m.s1 = u.s1) AS n_hit FROM universe u),
   scored AS (SELECT *, round({_F05}, 6) AS f05 FROM counts)"""
 _RECORDS = "records AS (SELECT doc_id AS eid, coalesce(lang, '') AS country, coalesce(text, '') AS name FROM documents)"
-_FOLD = f"lower(regexp_replace(regexp_replace(translate(name, '{T.ACCENTED}', '{T.UNACCENTED}'), '[\\x{{0300}}-\\x{{036f}}]', '', 'g'), '[^\\x00-\\x7F]', ' ', 'g'))"
+_FOLD = "lower(regexp_replace(strip_accents(name), '[^\\x00-\\x7F]', ' ', 'g'))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.LEGAL + T.NAME_STOP) + "]"
 _TOKENS = f"list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))"
 
