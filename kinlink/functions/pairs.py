@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -39,6 +39,17 @@ def numbers_compatible(a: Column, b: Column, near: int = 10) -> Column:
     return F.when(F.size(b) > 0, F.forall(b, lambda y: F.exists(a, lambda x: F.abs(x - y) <= near)))
 
 
+def weighted_sets(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Of pairs (s1, r): shared tokens, their share on both sides, weighted Jaccard and cosine, and the weight of the others (weights: eid, token, w)."""
+    size = weights.groupBy("eid").agg(F.count(F.lit(1)).alias("l"), F.sum("w").alias("a"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    left, right = weights.select(F.col("eid").alias("s1"), "token", "w"), weights.select(F.col("eid").alias("r"), "token")
+    both = pairs.join(left, "s1").join(right, ["r", "token"]).groupBy("s1", "r").agg(F.count(F.lit(1)).alias("inter"), F.sum("w").alias("both"), F.sum(F.col("w") * F.col("w")).alias("both2"))
+    rows = pairs.join(both, ["s1", "r"], "left").na.fill(0).join(size.toDF("s1", "la", "a", "a2"), "s1", "left").join(size.toDF("r", "lb", "b", "b2"), "r", "left")
+    c, r = F.col, lambda x: F.round(x, 6)
+    return rows.select("s1", "r", r(c("both2") / F.sqrt(c("a2") * c("b2"))).alias("idf_cosine"), r(c("both") / (c("a") + c("b") - c("both"))).alias("idf_overlap"), c("inter").cast("int").alias("inter"), r(c("inter") / c("la")).alias("cont_s1"),
+                       r(c("inter") / c("lb")).alias("cont_r"), (r(c("b") - c("both")) + F.lit(0.0)).alias("extra_r"), (r(c("a") - c("both")) + F.lit(0.0)).alias("extra_s1"))
+
+
 def number_rel_code(a: Column, b: Column) -> Column:
     """0 missing, 1 equal, 2 one is the other without its last one to three digits, 3 within ten, 4 other."""
     high, low = F.greatest(a, b), F.least(a, b)

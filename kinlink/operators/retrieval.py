@@ -94,10 +94,15 @@ def search_view(s1_keys: DataFrame, r_keys: DataFrame, keep: tuple[int, int] = K
 
 def merge_views(views: dict[int, DataFrame]) -> DataFrame:
     """Views by bit: union of pairs, bits or-ed, best score."""
+    return merge_views_of({bit: [view] for bit, view in views.items()})
+
+
+def merge_views_of(views: dict[int, list[DataFrame]]) -> DataFrame:
     rows = None
-    for bit, view in views.items():
-        part = view.select("s1", "r", "score", F.lit(bit).cast("long").alias("bit"))
-        rows = part if rows is None else rows.unionByName(part)
+    for bit, tables in views.items():
+        for view in tables:
+            part = view.select("s1", "r", "score", F.lit(bit).cast("long").alias("bit"))
+            rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("s1", "r").agg(F.bit_or("bit").alias("views"), F.max("score").alias("score"))
 
 
