@@ -29,7 +29,7 @@ from .shared import documents, fold, small_batches, without
 
 BITS = 18
 PREFIXES = (4, 6)
-SAMPLE = 8_000
+SAMPLE = 4_000
 FACTORS = 8
 #: Chi-square at which a term has half its full value.
 HALF_VALUE = 40
@@ -85,7 +85,7 @@ class FactorizationMachine:
             for i in range(0, len(order), size):
                 batch = order[i : i + size]
                 n, doc = len(batch), np.repeat(np.arange(len(batch)), [len(rows[j]) for j in batch])
-                term = np.concatenate([rows[j] for j in batch])
+                term = np.concatenate([rows[j] for j in batch]).astype(np.int64)
                 margins, sums, scaled = self._sums(n, doc, term)
                 miss = (probability(margins) - y[batch]) * np.where(y[batch] == 1, TOXIC_WEIGHT, 1)
                 e = miss[doc] / n * self.value[term]
@@ -120,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
              .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("y"))
              .orderBy(F.xxhash64("_id"), "_id").limit(sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(truth), F.col("doc_id") == F.col("_id")).select("text", "y").mapInArrow(_terms, "y int, ids binary").toPandas().sort_values(["y", "ids"])
-    y, terms = rows["y"].to_numpy(float), [np.frombuffer(x, "<u4").astype(np.int64) for x in rows["ids"]]
+    y, terms = rows["y"].to_numpy(float), [np.frombuffer(x, "<u4") for x in rows["ids"]]
+    del rows
     n1 = int(y.sum())
     n0 = len(y) - n1
     if not n0 or not n1:
