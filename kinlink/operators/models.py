@@ -113,12 +113,14 @@ def pseudo_label_training(df: DataFrame, pseudo: DataFrame, weight: float = 0.5,
 
 
 def stage3_contested(df: DataFrame, least: float = 0.01) -> DataFrame:
-    """Rows of contested records scored again out of fold; records that touch the holdout are never learnt from."""
+    """Rows of contested records scored again; records that touch the holdout are never learnt from, and without others the scores stay."""
     contested = G.contested_records(df.withColumn("p", F.col("p2")), least).select("r")
     touching = df.where(K.is_holdout(F.col("s1"))).select("r").distinct()
     rows = df.join(contested, "r", "left_semi")
-    model = fit_trees(rows.join(touching, "r", "left_anti"), stop_share=0.0)
-    return scored(model, rows, "p3").select(*PAIR, "p3")
+    known = rows.join(touching, "r", "left_anti")
+    if known.select("y").distinct().count() < 2:
+        return rows.select(*PAIR, F.col("p2").alias("p3"))
+    return scored(fit_trees(known, stop_share=0.0), rows, "p3").select(*PAIR, "p3")
 
 
 # calibration

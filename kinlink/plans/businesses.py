@@ -25,7 +25,7 @@ def _pick(words: str, by: str) -> str:
 _G, _V = "CAST(floor(c_custkey / 3) AS BIGINT)", "c_custkey % 3"
 _W1, _W2 = _pick("Golden|Silver|Apex|Lotus|Northern|Crown|Delta|Orion|Quiet|Rapid|Saffron", _G), _pick("Traders|Motors|Textiles|Bakery|Marketing|Software|Foods|Chemicals|Center|Services|Builders|Exports|Fabrics", f"CAST(floor({_G} / 5) AS BIGINT)")
 _FORM = f"CASE {_V} WHEN 0 THEN {_pick('Private Limited|LLC|SARL|Inc', _G)} WHEN 1 THEN {_pick('Pvt Ltd|L.L.C.|S.A.R.L|', _G)} ELSE {_pick('|Incorporated|Corp|dba Shop.com', _G)} END"
-_NAME = f"trim(CASE WHEN {_V} = 1 AND {_G} % 4 = 1 THEN 'Shri ' ELSE '' END || {_W1} || ' ' || CASE WHEN {_V} = 2 AND {_G} % 3 = 0 THEN replace({_W2}, 'e', 'é') ELSE {_W2} END || ' ' || {_FORM})"
+_NAME = f"trim(CASE WHEN {_V} = 1 AND {_G} % 4 = 1 THEN 'Shri ' ELSE '' END || {_W1} || ' ' || CASE WHEN {_V} = 2 AND {_G} % 3 = 0 THEN replace({_W2}, 'e', 'é') ELSE {_W2} END || CASE WHEN {_V} = 1 AND {_G} % 6 = 2 THEN ' Groupe' ELSE '' END || ' ' || {_FORM})"
 _NUMBER = f"CAST(100 + {_G} % 890 + CASE WHEN {_V} = 2 AND {_G} % 5 = 0 THEN 3 WHEN {_V} = 1 AND {_G} % 7 = 0 THEN -1 ELSE 0 END AS VARCHAR(9))"
 _STREET = f"{_pick('Jean Moulin|Victor Hugo|Station|Lake View|Mill', _G)} || ' ' || CASE {_V} WHEN 0 THEN {_pick('Street|Avenue|Road|Boulevard', _G)} ELSE {_pick('St|Ave|Rd|Bd', _G)} END"
 _ADDRESS = f"CASE WHEN {_V} = 2 AND {_G} % 11 = 0 THEN '' ELSE CASE WHEN {_G} % 6 = 0 THEN '00' ELSE '' END || {_NUMBER} || CASE WHEN {_G} % 9 = 0 THEN 'bis' ELSE '' END || ' ' || {_STREET} || ', ' || CASE WHEN {_V} = 1 THEN 'St Louis' ELSE 'Saint Louis' END || ', ' || {_pick('Nord|Texas|Pune|Sarthe|Deux Sèvres', _G)} || CASE WHEN {_G} % 13 = 0 THEN ', Twenty-First Floor near Park' ELSE '' END END"
