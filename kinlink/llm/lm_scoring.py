@@ -6,7 +6,7 @@ Filter.  A count c has level ``1 + floor(log2 c)``; an n-gram is inserted once f
 own, so a count is read back by probing level after level until a miss.  N-grams of any count are
 held.  Each bucket builds its own segment of ``BITS_PER_INSERTION`` bits for every insertion it counted,
 so the filter grows with the input and reads err equally often at any size: ``PROBES`` probes find a
-missing n-gram in about 1.8 % of reads.  No task and not the driver holds more than one segment.
+missing n-gram in about 1.2 % of reads.  No task and not the driver holds more than one segment.
 Scoring.  ``p(w|v) = MIX * c(vw)/c(v) + (1-MIX) * (c(w)+0.5)/(N+0.5(V+1))`` and
 ``p(w|uv) = MIX * c(uvw)/c(uv) + (1-MIX) * p(w|v)`` with the counts read from the filter; the base score
 uses exact word counts.  Documents are taken in units of about ``UNIT`` tokens.  The distinct n-grams of
@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import WIDE, buckets, documents, fold, small_batches, stored
 
-PROBES = 3
+PROBES = 4
 BITS_PER_INSERTION = 10
 MIX = 0.5
 END = K.U64(0x5EED0E7D00000001)
 START = K.U64(0x5EED57A7000000F1)
+LOW = K.U64((1 << 48) - 1)
 #: Words, pairs, triples.
 KINDS = (1, 2, 3)
 #: n-grams that one task sums before it sends them.
@@ -55,8 +56,8 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def gram_hashes(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the hash of it and the token before, and of it and the two before."""
-    first = begins[:-1]
+    """For each token the hash of it and the token before, and of it and the two before, from 48 bits of each."""
+    first, tokens = begins[:-1], tokens & LOW
 
     def chained(before: np.ndarray, start: np.uint64) -> np.ndarray:
         previous = np.empty_like(tokens)
@@ -277,7 +278,7 @@ def _parts(n: int):
                 rank = np.empty_like(order)
                 rank[order] = np.arange(len(order))
                 place = -1 - int(K.mix(np.array([number], K.U64))[0] % K.U64(n))
-                rows = [(number, place, 0, words[order].astype("<u8").tobytes(), ids[a:b].tobytes(), begins.astype("<i8").tobytes(), _packed(rank[at].astype("<u4")))]
+                rows = [(number, place, 0, _packed(order.astype("<u4")), ids[a:b].tobytes(), begins.astype("<i8").tobytes(), _packed(rank[at].astype("<u4")))]
                 for kind, keys in zip(KINDS, (words, *(np.unique(gram_keys(h, n)) for h in gram_hashes(tokens, begins)))):
                     cut = _cuts(kind, keys, n)
                     rows += [(number, k, kind, _coded(kind, keys[cut[k] : cut[k + 1]]), int(cut[k + 1] - cut[k]).to_bytes(8, "little"), b"", b"") for k in np.flatnonzero(np.diff(cut)).tolist()]
@@ -287,7 +288,7 @@ def _parts(n: int):
 
 
 def _looked_up(parts: pa.Table, counts: pa.Table) -> pa.Table:
-    """Levels of the words and pairs of one bucket and exact counts of its words, in place of the keys; other rows pass through."""
+    """Levels of the n-grams of one bucket and exact counts of its words; other rows pass through."""
     own = (counts.to_pylist() or [{"words": b"", "word_counts": b"", "bits": b"", "insertions": 0, "most": 0}])[0]
     words, values = K.unpack(own["words"], 6), np.frombuffer(own["word_counts"], "<i8")
     segment = LogFrequencySegment(np.frombuffer(own["bits"], np.uint8), BITS_PER_INSERTION * own["insertions"], own["most"])
@@ -296,11 +297,11 @@ def _looked_up(parts: pa.Table, counts: pa.Table) -> pa.Table:
         row |= {"levels": b"", "counts": b""}
         if row["kind"]:
             keys = _decoded(row["kind"], row["keys"], int.from_bytes(row["ids"], "little"))
-            row |= {"keys": b"", "levels": _packed(segment.levels(keys, row["kind"]))}
+            row |= {"keys": row["keys"] if row["kind"] == 1 else b"", "levels": _packed(segment.levels(keys, row["kind"]))}
             if row["kind"] == 1:
                 place = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1))
                 c = np.where(words[place] == keys, values[place], 0) if len(words) else np.zeros(len(keys), np.int64)
-                row["counts"] = c.astype("<i8").tobytes()
+                row["counts"] = _packed(c.astype("<u8"))
         out.append(row)
     return pa.Table.from_pylist(out, _schema(_FOUND))
 
@@ -312,10 +313,10 @@ def _joined(docs: int, room: float, buckets: int):
         first = next(r for r in own if not r["kind"])
         of = lambda kind: [r for r in own if r["kind"] == kind]
         levels = lambda kind: MEANING[np.concatenate([_unpacked(r["levels"], int.from_bytes(r["ids"], "little")) for r in of(kind)])]
-        words, begins = np.frombuffer(first["keys"], "<u8").astype(K.U64), np.frombuffer(first["begins"], "<i8")
-        order = np.argsort(words)  # words come by how often they occur, what was found by hash
-        at = np.argsort(order)[_unpacked(first["at"], int(begins[-1]))]
-        words, count, word = words[order], np.concatenate([np.frombuffer(r["counts"], "<i8") for r in of(1)]), levels(1)[at]
+        begins = np.frombuffer(first["begins"], "<i8")
+        words = np.concatenate([K.unpack(r["keys"], 6) for r in of(1)])
+        at = _unpacked(first["keys"], len(words))[_unpacked(first["at"], int(begins[-1]))]  # words come by hash, token numbers by how often a word occurs
+        count, word = np.concatenate([_unpacked(r["counts"], len(r["keys"]) // 6) for r in of(1)]), levels(1)[at]
         chance, context = (word + 0.5) / room, word
         for kind, hashes in zip(KINDS[1:], gram_hashes(words[at], begins)):
             before = np.empty_like(word)
