@@ -39,7 +39,7 @@ def grouped(df: DataFrame, groups: int = 3) -> DataFrame:
     return df.withColumn("grp", F.pmod(K.fold_of(F.col("s1")), F.lit(groups)))
 
 
-def fit_trees(df: DataFrame, depth: int = 4, rounds: int = 12, rate: float = 0.2, weight: str | None = None, stop_share: float = 0.05):
+def fit_trees(df: DataFrame, depth: int = 4, rounds: int = 8, rate: float = 0.2, weight: str | None = None, stop_share: float = 0.05):
     """A boosted model of y; a hash share of the entities tells when to stop."""
     cols = feature_columns(df)
     rows = df.where("y IS NOT NULL").withColumn("y", F.col("y").cast("double")).withColumn("_stop", F.pmod(F.xxhash64("s1", F.lit(5)), F.lit(1000)) < int(1000 * stop_share))

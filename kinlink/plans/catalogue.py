@@ -198,21 +198,21 @@ def _sides(spark, d):
     return k.where("eid % 2 = 0"), k.where("eid % 2 = 1")
 
 
-#: Whole texts have some hundred keys where a business name has ten, so a key seeds up to fewer records here; all else is the reference's.
-SEEDS = (300, 200)
+#: Whole texts have some hundred keys where a business name has ten, so here a key seeds up to fewer records and fewer pairs are verified; all else is the reference's.
+SEEDS, CHECKED = (100, 60), (100, 50)
 _TOPK = f"""{_KEYS}, stats AS (SELECT part, key, count(*) FILTER (eid % 2 = 0) AS post_s1, count(*) FILTER (eid % 2 = 1) AS post_r, greatest(ln(any_value(n) / count(*)), 0.01) AS idf FROM k JOIN n USING (part) GROUP BY part, key),
   kw AS (SELECT *, sqrt(sum(idf) OVER (PARTITION BY part, eid)) AS norm, CASE WHEN eid % 2 = 0 THEN post_r ELSE post_s1 END AS other FROM k JOIN stats USING (part, key)),
   kp AS (SELECT *, row_number() OVER (PARTITION BY part, eid ORDER BY CASE WHEN other = 0 THEN 1 ELSE 0 END, other, key) AS place FROM kw),
   joined AS (SELECT a.part, a.eid AS s1, b.eid AS r, a.idf, a.norm AS norm_s1, b.norm AS norm_r, a.post_r <= {SEEDS[0]} OR a.place <= {R.RAREST} AS by_s1, a.post_s1 <= {SEEDS[1]} OR b.place <= {R.RAREST} AS by_r
     FROM kp a JOIN kp b ON a.part = b.part AND a.key = b.key WHERE a.eid % 2 = 0 AND b.eid % 2 = 1),
   sums AS (SELECT part, s1, r, sum(CASE WHEN by_s1 THEN idf ELSE 0 END) AS by_s1, sum(CASE WHEN by_r THEN idf ELSE 0 END) AS by_r, round(sum(idf) / (any_value(norm_s1) * any_value(norm_r)), 6) AS score, any_value(norm_s1) AS norm_s1, any_value(norm_r) AS norm_r FROM joined GROUP BY part, s1, r),
-  f AS (SELECT part, s1 AS q, r AS d, score, CAST(row_number() OVER (PARTITION BY part, s1 ORDER BY score DESC, r) - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part, s1 ORDER BY round(by_s1 / norm_r, 9) DESC, r) AS v FROM sums WHERE by_s1 > 0) WHERE v <= {R.VERIFY[0]}),
-  b AS (SELECT part, r AS q, s1 AS d, score, CAST(row_number() OVER (PARTITION BY part, r ORDER BY score DESC, s1) - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part, r ORDER BY round(by_r / norm_s1, 9) DESC, s1) AS v FROM sums WHERE by_r > 0) WHERE v <= {R.VERIFY[1]})"""
+  f AS (SELECT part, s1 AS q, r AS d, score, CAST(row_number() OVER (PARTITION BY part, s1 ORDER BY score DESC, r) - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part, s1 ORDER BY round(by_s1 / norm_r, 9) DESC, r) AS v FROM sums WHERE by_s1 > 0) WHERE v <= {CHECKED[0]}),
+  b AS (SELECT part, r AS q, s1 AS d, score, CAST(row_number() OVER (PARTITION BY part, r ORDER BY score DESC, s1) - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part, r ORDER BY round(by_r / norm_s1, 9) DESC, s1) AS v FROM sums WHERE by_r > 0) WHERE v <= {CHECKED[1]})"""
 
 
 @query("topk_overlap", f"WITH {_TOPK} SELECT * FROM f WHERE rank < {R.KEEP[0]}")
 def _topk(spark, d):
-    return R.topk_overlap(*_sides(spark, d), seed_cap=SEEDS[0])
+    return R.topk_overlap(*_sides(spark, d), seed_cap=SEEDS[0], verify=CHECKED[0])
 
 
 _TRIMMED = f"""WITH {_TOPK},
@@ -222,7 +222,7 @@ _TRIMMED = f"""WITH {_TOPK},
 
 @query("search_view", _TRIMMED + " SELECT * FROM view")
 def _view(spark, d):
-    return R.search_view(*_sides(spark, d), seed_cap=SEEDS)
+    return R.search_view(*_sides(spark, d), seed_cap=SEEDS, verify=CHECKED)
 
 
 @query("linkage_slice", f"""{_TRIMMED}, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, s1) AS k FROM view) WHERE k = 1 AND score >= 0.3),
@@ -231,7 +231,7 @@ def _view(spark, d):
   SELECT s1, n_true, n_pred, CAST(n_hit AS BIGINT) AS n_hit, round({_F05}, 6) AS f05 FROM counts""")
 def _slice(spark, d):
     """Flagship: records, tokens, retrieval both ways, one owner, threshold, F0.5 per entity."""
-    own = G.argmax_owner(R.search_view(*_sides(spark, d), seed_cap=SEEDS).withColumnRenamed("score", "p")).where("p >= 0.3")
+    own = G.argmax_owner(R.search_view(*_sides(spark, d), seed_cap=SEEDS, verify=CHECKED).withColumnRenamed("score", "p")).where("p >= 0.3")
     whole = _read(spark, d, "documents").select(F.col("doc_id"), F.lower("text").alias("t"))
     pairs = whole.where("doc_id % 2 = 0").select(F.col("doc_id").alias("s1"), "t").join(whole.where("doc_id % 2 = 1").select(F.col("doc_id").alias("r"), "t"), "t").select("s1", "r")
     return G.per_entity_f05(whole.where("doc_id % 2 = 0").select(F.col("doc_id").alias("s1")), pairs, own)

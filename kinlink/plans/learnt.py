@@ -11,7 +11,7 @@ from ..operators import dictionaries as L
 from ..operators import retrieval as R
 from ..operators.tables import saved
 from .businesses import _ATEXT, _AWORDS, _B, _CITIES, _CONTENT, _FOLDED, _STOP, biz, words
-from .catalogue import _KEYS, _TRIMMED, SEEDS, _sides, records
+from .catalogue import _KEYS, _TRIMMED, CHECKED, SEEDS, _sides, records
 from .registry import query
 
 N, A = F.col("name"), F.col("address")
@@ -130,7 +130,7 @@ query("nearest_s1", f"""WITH {_RK}, e AS (SELECT rk.*, v FROM rk JOIN f USING (k
     lambda spark, d: (lambda k: L.nearest_s1(k.where("v = 0").select(F.col("k").alias("eid"), "key"), k.where("v > 0").select(F.col("k").alias("eid"), "key")))(all_keys(biz(spark, d))))
 query("partition_by_country", f"WITH {_KEYS} SELECT eid, part FROM parts")(lambda spark, d: R.partition_by_country(records(spark, d)).select("eid", "part"))
 _V2 = f"""{_TRIMMED}, n2 AS (SELECT 64 AS bit, s1, r, score FROM view UNION ALL SELECT 4, s1, r, round(score / 2, 6) FROM view WHERE rank_r = 0 UNION ALL SELECT 4, s1 + 2, r, 0.01 FROM view WHERE rank_s1 = 0)"""
-query("merge_views", _V2 + " SELECT s1, r, CAST(bit_or(bit) AS BIGINT) AS views, max(score) AS score FROM n2 GROUP BY s1, r")(lambda spark, d: (lambda v: R.merge_views_of({64: [v], 4: [v.where("rank_r = 0").withColumn("score", F.round(F.col("score") / 2, 6)), v.where("rank_s1 = 0").withColumn("s1", F.col("s1") + 2).withColumn("score", F.lit(0.01))]}))(saved(R.search_view(*_sides(spark, d), seed_cap=SEEDS))))
+query("merge_views", _V2 + " SELECT s1, r, CAST(bit_or(bit) AS BIGINT) AS views, max(score) AS score FROM n2 GROUP BY s1, r")(lambda spark, d: (lambda v: R.merge_views_of({64: [v], 4: [v.where("rank_r = 0").withColumn("score", F.round(F.col("score") / 2, 6)), v.where("rank_s1 = 0").withColumn("s1", F.col("s1") + 2).withColumn("score", F.lit(0.01))]}))(saved(R.search_view(*_sides(spark, d), seed_cap=SEEDS, verify=CHECKED))))
 _AK = "CASE WHEN regexp_matches({0}, '^[0-9]') THEN regexp_extract({0}, '^[0-9]+') ELSE '' END"
 _EXACT = f"WITH {_F}, x AS (SELECT k, v, country || '|' || array_to_string(list_sort(n), ' ') || '|' || coalesce(d[1], '') AS key FROM f)"
 
