@@ -14,13 +14,12 @@ from .businesses import _ATEXT, _AWORDS, _B, _CITIES, _CONTENT, _FOLDED, _STOP,
 from .catalogue import _KEYS, _TRIMMED, CHECKED, SEEDS, _sides, records
 from .registry import query
 
-N, A = F.col("name"), F.col("address")
 _NT = f"list_filter(string_split_regex({_FOLDED.format('name')}, '[^a-z0-9]+'), lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))"
 _TOK = f"{_B}, tok AS (SELECT country, k AS eid, v, pos, token FROM (SELECT country, k, v, unnest({_NT}) AS token, generate_subscripts({_NT}, 1) - 1 AS pos FROM biz)), voc AS (SELECT country, token, count(DISTINCT eid) AS n FROM tok WHERE v = 0 GROUP BY ALL)"
 
 
 def tokens(spark, d):
-    return biz(spark, d).select("country", F.col("k").alias("eid"), "v", F.posexplode(T.name_tokens(N)).alias("pos", "token"))
+    return biz(spark, d).select("country", F.col("k").alias("eid"), "v", F.posexplode(T.name_tokens(F.col("name"))).alias("pos", "token"))
 
 
 def vocabulary(spark, d):
@@ -82,15 +81,28 @@ query("lo_mix", f"WITH {_ODDS}, {_MOVED}, t AS (SELECT DISTINCT country, token F
     lambda spark, d: L.lo_mix(tokens(spark, d).select("country", "token").distinct(), odds(spark, d), moved(spark, d).withColumnRenamed("rate", "odds"), ["0", "1"]))
 query("city_vocab", f"""WITH {_B}, p AS (SELECT DISTINCT country, k AS eid, unnest({_CITIES.format('address')}) AS place FROM biz), n AS (SELECT country, place, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 5), b AS (SELECT p.*, n FROM p JOIN n USING (country, place)),
   m AS (SELECT x.country, x.place, avg(CASE WHEN x.n > y.n THEN 1 ELSE 0 END) AS larger FROM b x JOIN b y ON x.country = y.country AND x.eid = y.eid AND x.place <> y.place GROUP BY ALL) SELECT n.country, n.place, n.n, coalesce(larger >= 0.9, false) AND n.n >= 0.002 * z AS region FROM n LEFT JOIN m USING (country, place) JOIN (SELECT country, count(DISTINCT eid) AS z FROM p GROUP BY country) USING (country)""")(
-    lambda spark, d: L.city_vocab(biz(spark, d).select("country", F.col("k").alias("eid"), F.explode(B.city_components(A)).alias("place")), least=5))
+    lambda spark, d: L.city_vocab(biz(spark, d).select("country", F.col("k").alias("eid"), F.explode(B.city_components(F.col("address"))).alias("place")), least=5))
 _CORE = f"list_filter(string_split_regex(lower(regexp_replace(strip_accents(name), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains({_STOP}, w))"
 query("name_uniqueness", f"WITH {_B}, {_TRUE}, c AS (SELECT country, k, v, array_to_string({_CORE}, ' ') AS core FROM biz), n AS (SELECT country, core, count(*) AS n FROM c WHERE v = 0 GROUP BY ALL) SELECT s1, r, coalesce(x.n, 0) AS n_s1, coalesce(y.n, 0) AS n_r FROM true_pairs p JOIN c a ON a.k = p.s1 JOIN c b ON b.k = p.r LEFT JOIN n x ON x.country = a.country AND x.core = a.core LEFT JOIN n y ON y.country = b.country AND y.core = b.core")(
-    lambda spark, d: (lambda c: L.name_uniqueness(true_pairs(spark, d), c.where("v = 0"), c.where("v > 0")))(biz(spark, d).select(F.col("k").alias("eid"), "v", "country", B.core_name_v2(N).alias("core"))))
+    lambda spark, d: (lambda c: L.name_uniqueness(true_pairs(spark, d), c.where("v = 0"), c.where("v > 0")))(biz(spark, d).select(F.col("k").alias("eid"), "v", "country", B.core_name_v2(F.col("name")).alias("core"))))
 query("idf_fit", f"WITH {_TOK}, n AS (SELECT country, count(DISTINCT eid) AS n FROM tok GROUP BY country) SELECT country, token, count(DISTINCT eid) AS df, round(ln((any_value(n) + 1) / (count(DISTINCT eid) + 1)) + 1, 6) AS idf FROM tok JOIN n USING (country) GROUP BY country, token")(lambda spark, d: L.idf_fit(tokens(spark, d)))
 
 # keys
 
-NAMES, WORDS, NUMBERS = T.name_tokens(N), T.address_words(A), T.address_numbers(A)
+
+
+def name_parts():
+    return T.name_tokens(F.col("name"))
+
+
+def address_parts():
+    return T.address_words(F.col("address"))
+
+
+def number_parts():
+    return T.address_numbers(F.col("address"))
+
+
 _NUMS = f"list_transform(regexp_extract_all({_ATEXT}, '[0-9]+'), lambda t: regexp_replace(t, '^0+([0-9])', '\\1'))"
 _F = f"{_B}, f AS (SELECT k, g, v, country, {_NT} AS n, {_AWORDS} AS a, {_NUMS} AS d FROM biz)"
 _COMPOUND = """SELECT k, 'nn:' || least(n[i], n[j]) || '|' || greatest(n[i], n[j]) AS key FROM f, range(1, 4) x(i), range(2, 5) y(j) WHERE i < j AND j <= least(len(n), 4) UNION SELECT k, 'dw:' || d[i] || '|' || a[j] FROM f, range(1, 3) x(i), range(1, 4) y(j) WHERE i <= len(d) AND j <= len(a) UNION SELECT k, 'dn:' || d[i] || '|' || n[j] FROM f, range(1, 3) x(i), range(1, 4) y(j) WHERE i <= len(d) AND j <= len(n)"""
@@ -99,7 +111,7 @@ _NW = f"SELECT k, 'nw:' || n[i] || '|' || w[j] AS key FROM (SELECT *, list_filte
 
 
 def parts(spark, d):
-    return biz(spark, d).select("*", NAMES.alias("n_"), WORDS.alias("a_"), NUMBERS.alias("d_"), F.array_join(NAMES, "").alias("j_"))
+    return biz(spark, d).select("*", name_parts().alias("n_"), address_parts().alias("a_"), number_parts().alias("d_"), F.array_join(name_parts(), "").alias("j_"))
 
 
 query("compound_keys", f"WITH {_F} {_COMPOUND}")(lambda spark, d: parts(spark, d).select("k", F.explode(F.array_distinct(L.compound_keys(F.col("n_"), F.col("a_"), F.col("d_")))).alias("key")))
@@ -107,7 +119,7 @@ query("name_word_keys", f"WITH {_F} SELECT DISTINCT * FROM ({_NW})")(lambda spar
 
 
 def all_keys(b):
-    own = b.select("*", NAMES.alias("n_"), WORDS.alias("a_"), NUMBERS.alias("d_"))
+    own = b.select("*", name_parts().alias("n_"), address_parts().alias("a_"), number_parts().alias("d_"))
     skeletons = F.transform(F.filter("n_", lambda t: F.length(t) >= 3), T.skeleton)
     return own.select("k", "g", "v", "country", F.explode(L.record_keys(F.col("n_"), F.col("a_"), F.col("d_"), T.name_concat(F.col("n_")), skeletons)).alias("key"))
 
@@ -136,7 +148,7 @@ _EXACT = f"WITH {_F}, x AS (SELECT k, v, country || '|' || array_to_string(list_
 
 
 def exact(spark, d):
-    return biz(spark, d).select(F.col("k").alias("eid"), "v", F.concat_ws("|", "country", words(F.array_sort(NAMES)), F.coalesce(F.get(NUMBERS, 0), F.lit(""))).alias("key"))
+    return biz(spark, d).select(F.col("k").alias("eid"), "v", F.concat_ws("|", "country", words(F.array_sort(name_parts())), F.coalesce(F.get(number_parts(), 0), F.lit(""))).alias("key"))
 
 
 query("exact_key_rescue", _EXACT + " SELECT s1, r, key FROM (SELECT key, any_value(k) AS s1 FROM x WHERE v = 0 GROUP BY key HAVING count(*) = 1) JOIN (SELECT key, any_value(k) AS r FROM x WHERE v > 0 GROUP BY key HAVING count(*) = 1) USING (key)")(lambda spark, d: (lambda e: R.exact_key_rescue(e.where("v = 0"), e.where("v > 0")))(exact(spark, d)))
@@ -145,7 +157,7 @@ _WORDS = f"{_B}, w AS (SELECT k AS eid, v, country, {_CONTENT.format('name')} AS
 
 
 def named(spark, d):
-    return biz(spark, d).select(F.col("k").alias("eid"), "v", "country", B.content_words(N).alias("words"), F.regexp_extract("address", "^[0-9]+", 0).alias("address"))
+    return biz(spark, d).select(F.col("k").alias("eid"), "v", "country", B.content_words(F.col("name")).alias("words"), F.regexp_extract("address", "^[0-9]+", 0).alias("address"))
 
 
 def initials(t):
@@ -159,12 +171,12 @@ _BRAND = _WORDS + ", i AS (SELECT eid, v, country, address, CASE WHEN v = 2 THEN
 query("brand_join", f"WITH {_BRAND}, one AS (SELECT country, address, any_value(eid) AS s1 FROM i WHERE v = 0 AND address <> '' GROUP BY ALL HAVING count(*) = 1) SELECT s1, eid AS r FROM i JOIN one USING (country, address) WHERE v > 0 AND len(words) = 1 AND length(words[1]) BETWEEN 5 AND 15 AND words[1] NOT IN (SELECT unnest(words) FROM i e WHERE e.v = 0) AND eid % 4 <> 0")(
     lambda spark, d: (lambda t: L.brand_join(t.where("v = 0"), t.where("v > 0"), t.where("eid % 4 = 0").select(F.col("eid").alias("r"))))(named(spark, d).withColumn("words", F.when(F.col("v") == 2, F.array(F.concat(F.lit("zz"), F.array_join("words", "")))).otherwise(F.col("words")))))
 query("closeness_bucket", f"WITH {_F}, p AS (SELECT a.k AS s1, b.k AS r, len(list_intersect(a.n, b.n)) / nullif(len(list_distinct(list_concat(a.n, b.n))), 0) AS x, len(list_intersect(a.a, b.a)) / nullif(len(list_distinct(list_concat(a.a, b.a))), 0) AS y FROM f a JOIN f b USING (g) WHERE a.v = 0 AND b.v > 0) SELECT s1, r, CASE WHEN coalesce(x, 0) >= 0.5 AND coalesce(y, 0) >= 0.5 THEN 'both' WHEN coalesce(x, 0) >= 0.5 THEN 'name' WHEN coalesce(y, 0) >= 0.5 THEN 'address' ELSE 'neither' END AS bucket FROM p")(
-    lambda spark, d: (lambda b: b.where("v = 0").select("g", F.col("k").alias("s1"), NAMES.alias("n"), WORDS.alias("a")).join(b.where("v > 0").select("g", F.col("k").alias("r"), NAMES.alias("m"), WORDS.alias("b")), "g").select("s1", "r", L.closeness_bucket(P.jaccard(F.col("n"), F.col("m")), P.jaccard(F.col("a"), F.col("b"))).alias("bucket")))(biz(spark, d)))
+    lambda spark, d: (lambda b: b.where("v = 0").select("g", F.col("k").alias("s1"), name_parts().alias("n"), address_parts().alias("a")).join(b.where("v > 0").select("g", F.col("k").alias("r"), name_parts().alias("m"), address_parts().alias("b")), "g").select("s1", "r", L.closeness_bucket(P.jaccard(F.col("n"), F.col("m")), P.jaccard(F.col("a"), F.col("b"))).alias("bucket")))(biz(spark, d)))
 _IDF = f"WITH {_F}, df AS (SELECT t, ln((SELECT count(*) FROM f) / count(*)) AS w FROM (SELECT DISTINCT k, unnest(n) AS t FROM f) GROUP BY t), e AS (SELECT DISTINCT k, t, w FROM (SELECT k, unnest(n) AS t FROM f) JOIN df USING (t)), p AS (SELECT a.k AS s1, b.k AS r FROM f a JOIN f b USING (g) WHERE a.v = 0 AND b.v > 0)"
 
 
 def weighted(spark, d):
-    own = biz(spark, d).select("k", "g", "v", F.array_distinct(NAMES).alias("n"))
+    own = biz(spark, d).select("k", "g", "v", F.array_distinct(name_parts()).alias("n"))
     t = own.select("k", F.explode("n").alias("token"))
     w = t.groupBy("token").agg(F.log(own.count() / F.count(F.lit(1))).alias("w"))
     return own, t.join(w, "token")
@@ -175,6 +187,6 @@ query("idf_cosine", _IDF + """, s AS (SELECT p.s1, p.r, coalesce((SELECT sum(x.w
   SELECT s1, r, round(bb2 / sqrt(a2 * b2), 6) AS idf_cosine, round(bb / (a + b - bb), 6) AS idf_overlap, CAST(n AS INTEGER) AS inter, round(n / la, 6) AS cont_s1, round(n / lb, 6) AS cont_r, round(b - bb, 6) + 0.0 AS extra_r, round(a - bb, 6) + 0.0 AS extra_s1 FROM s""")(
     lambda spark, d: (lambda own, w: P.weighted_sets(own.where("v = 0").select("g", F.col("k").alias("s1")).join(own.where("v > 0").select("g", F.col("k").alias("r")), "g").select("s1", "r"), w.withColumnRenamed("k", "eid")))(*weighted(spark, d)))
 query("rule_city", f"WITH {_B}, {_TRUE}, c AS (SELECT k, {_CITIES.format('address')} AS c FROM biz) SELECT s1, r FROM true_pairs JOIN c a ON a.k = s1 JOIN c b ON b.k = r WHERE NOT (len(a.c) > 0 AND len(b.c) > 0 AND NOT list_has_any(a.c, b.c))")(
-    lambda spark, d: (lambda c: true_pairs(spark, d).join(c.select(F.col("k").alias("s1"), F.col("c").alias("a")), "s1").join(c.select(F.col("k").alias("r"), F.col("c").alias("b")), "r").where(~B.city_mismatch(F.col("a"), F.col("b"))).select("s1", "r"))(biz(spark, d).select("k", B.city_components(A).alias("c"))))
+    lambda spark, d: (lambda c: true_pairs(spark, d).join(c.select(F.col("k").alias("s1"), F.col("c").alias("a")), "s1").join(c.select(F.col("k").alias("r"), F.col("c").alias("b")), "r").where(~B.city_mismatch(F.col("a"), F.col("b"))).select("s1", "r"))(biz(spark, d).select("k", B.city_components(F.col("address")).alias("c"))))
 query("lo_summary", f"WITH {_ODDS} SELECT eid, min(odds) AS lo_min, round(sum(odds), 6) + 0.0 AS lo_sum, CAST(count(*) FILTER (odds < -1) AS INTEGER) AS lo_low FROM (SELECT DISTINCT eid, token FROM tok) JOIN odds USING (token) WHERE grp = -1 GROUP BY eid")(
     lambda spark, d: tokens(spark, d).select("eid", "token").distinct().join(odds(spark, d).where("grp = -1"), "token").groupBy("eid").agg(F.collect_list("odds").alias("o")).select("eid", *((F.round(c, 6) + F.lit(0.0) if n == "lo_sum" else c).alias(n) for n, c in L.odds_summary(F.col("o")).items())))
