@@ -21,7 +21,8 @@ Every step only leaves out pairs that cannot link.  Tokens and, but for step 1,
 
 Defined results.  Null and empty texts, and texts without words, have an empty set and link with
 nothing.  Texts of fewer than five words have one shingle.  Rows without doc_id are left out.
-Repeated rows have equal sets and so one component.
+Repeated rows have equal sets and so one component; rows that repeat a doc_id with another text are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -188,7 +189,7 @@ def _bit(ids: np.ndarray, size: int) -> np.ndarray:
     return ((K.mix(ids.view(K.U64)) >> K.U64(32)) * K.U64(size) >> K.U64(32)).astype(np.int64)
 
 
-_SETS_ARROW = pa.schema([("set_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+_SETS_ARROW = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
 
 def _sets(taken):
@@ -197,13 +198,13 @@ def _sets(taken):
         n, size = len(segments), 8 * len(segments[0])
         for batch in batches:
             best: dict[int, tuple] = {}
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), K.text_shingles(batch.column("text"), WIDTH)):
+            for tokens in K.text_shingles(batch.column("text"), WIDTH):
                 if not len(tokens):
                     continue
                 name = set_id(tokens)
                 bit = int(_bit(np.array([name]), size)[0])
-                if segments[name % n][bit >> 3] >> (bit & 7) & 1 and (name not in best or doc < best[name][1]):
-                    best[name] = (name, doc, len(tokens), tokens.astype("<u8").tobytes())
+                if segments[name % n][bit >> 3] >> (bit & 7) & 1 and name not in best:
+                    best[name] = (name, len(tokens), tokens.astype("<u8").tobytes())
             yield _batch(list(best.values()), _SETS_ARROW)
     return shipped
 
@@ -543,12 +544,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark, n = docs.sparkSession, buckets(docs)
     size = docs.count()
     info = stored(shingle_info(docs), 1 + size // WIDE)
-    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.where(F.col("doc_id").isNotNull()).select("text")
     taken = spark.sparkContext.broadcast(_taken(info, n))
-    distinct = own.mapInArrow(_sets(taken), "set_id long, node long, n long, tokens binary").groupBy("set_id").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    distinct = stored(distinct.select("node", "n", "tokens"), 1 + size // WIDE)
+    # a node is a set, not a doc_id, as rows may repeat a doc_id with other texts
+    distinct = own.mapInArrow(_sets(taken), "node long, n long, tokens binary").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    distinct = stored(distinct, 1 + size // WIDE)
     taken.unpersist()
-    size = distinct.count()
+    all_rows, size = size, distinct.count()
     wide, narrow = 1 + size // WIDE, 1 + size // NARROW
     sets = stored(_ordered(distinct, n), wide)
     dropped(distinct)
@@ -579,9 +581,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             if left.isEmpty():
                 break
     dropped(sets, groups)
-    first = info.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    out = info.join(first, "set_id", "left").withColumn("node", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")))
-    return out.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))
+    first = info.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    first = stored(first, 1 + all_rows // NARROW)
+    least = first.join(first.groupBy("comp").agg(F.min("first").alias("least")), "comp").select("set_id", "least")
+    return info.join(least, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

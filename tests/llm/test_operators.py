@@ -84,6 +84,18 @@ def test_jaccard(docs, rows, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_of_repeated_ids(spark):
+    """Two texts under one doc_id keep the links of both."""
+    words = lambda mark, k: [f"{mark}{k}_{j}" for j in range(40)]
+    rows, want = [], []
+    for k in range(30):
+        for mark, other in (("u", 1000), ("z", 2000)):
+            rows += [(k, " ".join(words(mark, k))), (other + k, " ".join(words(mark, k)[:-1] + ["changed"]))]
+            want += [(k, k), (other + k, k)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(want)
+
+
 def test_trie():
     rng = np.random.default_rng(2)
     pivot = np.arange(40, dtype=np.uint64)
