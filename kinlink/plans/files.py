@@ -59,11 +59,8 @@ query("truth_pairs", f"WITH {_LISTS} SELECT * FROM pairs")(lambda spark, d: S.tr
 @query("read_id_lists", f"WITH {_LISTS} SELECT row_number() OVER (ORDER BY k) AS place, source1_entity_id AS entity_id, (SELECT count(*) FROM pairs WHERE s1 = 1000000000 + k) AS n FROM lists")
 def _read_lists(spark, d):
     order, pairs = S.read_id_lists(spark, f"{split_folder(spark, d)}/train/train_ground_truth.tsv")
-    from pyspark.sql import Window as W
-
     n = pairs.groupBy(K.eid_decode(F.col("s1")).alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
-    # places are counted within range buckets of the file order: one bucket here
-    return order.join(n, "entity_id", "left").na.fill(0, ["n"]).select(F.row_number().over(W.orderBy("ord")).cast("long").alias("place"), "entity_id", "n")
+    return order.join(n, "entity_id", "left").na.fill(0, ["n"]).select((F.col("ord") + 1).alias("place"), "entity_id", "n")
 
 
 _JOINED = f"WITH {_LISTS} SELECT source1_entity_id, coalesce((SELECT string_agg('S' || CAST(r // 1000000000 AS VARCHAR) || '-' || CAST(r % 1000000000 AS VARCHAR), ',' ORDER BY r) FROM pairs WHERE s1 = 1000000000 + k), '') AS %s FROM lists"

@@ -66,9 +66,16 @@ def truth_pairs(table: DataFrame) -> DataFrame:
 
 
 def read_id_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entities in file order as (ord, entity_id), pairs)."""
+    """(entities in file order as (ord, entity_id), pairs); ord counts from 0 without gaps, through part files by their names.
+
+    Spark deals files and their blocks to tasks by size, so a row's place is that of its block plus that in it.
+    """
     table = scan_tsv(spark, path)
-    return table.select(F.monotonically_increasing_id().alias("ord"), F.col(f"`{table.columns[0]}`").alias("entity_id")), truth_pairs(table)
+    rows = table.select(F.input_file_name().alias("_file"), F.input_file_block_start().alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col(f"`{table.columns[0]}`").alias("entity_id"))
+    blocks = rows.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
+    return rows.join(F.broadcast(blocks), ["_file", "_start"]).select((F.col("_at") + F.col("_shift")).alias("ord"), "entity_id"), truth_pairs(table)
 
 
 def id_lists(order: DataFrame, pairs: DataFrame) -> DataFrame:
