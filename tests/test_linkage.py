@@ -2,13 +2,16 @@
 
 import itertools
 import random
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinlink.functions import addresses as A
 from kinlink.functions import businesses as B
 from kinlink.functions import indic as I
 from kinlink.functions import pairs as P
+from kinlink.operators import decide as D
 from kinlink.operators import dictionaries as L
 from kinlink.operators import edits as X
 
@@ -91,3 +94,16 @@ def test_best_split_is_cheapest():
         costs = [sum(words[w] for w in cut) for cut in cuts if all(w in words for w in cut)]
         found = L.best_split(token, words)
         assert bool(found) == bool(costs) and (not costs or sum(words[w] for w in found) == pytest.approx(min(costs)))
+
+
+def test_index_bootstrap_draws_all(spark):
+    """Every draw takes n of n, in blocks too, and there is no most number of entities."""
+    d = spark.range(500).select(F.col("id").alias("s1"), F.pmod(F.col("id") * 7, F.lit(11)).cast("double").alias("d"))
+    rows = D._index_draws(d, 200, 0, 32).groupBy("draw").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m")).collect()
+    values = [k * 7 % 11 for k in range(500)]
+    mean, deviation = statistics.mean(values), statistics.pstdev(values) / 500 ** 0.5
+    assert len(rows) == 200 and all(r["n"] == 500 for r in rows)
+    assert statistics.mean(r["m"] for r in rows) == pytest.approx(mean, abs=deviation / 3) and statistics.pstdev(r["m"] for r in rows) == pytest.approx(deviation, rel=0.2)
+    many = spark.range((1 << 20) + 1).select(F.col("id").alias("s1"), F.lit(0.0).alias("a"), (F.col("id") % 2).cast("double").alias("b"))
+    got = D.paired_bootstrap(many, 20, poisson=False).first()
+    assert got["n"] == (1 << 20) + 1 and got["delta"] == 0.5 and 0.49 < got["ci_low"] < 0.5 < got["ci_high"] < 0.51
