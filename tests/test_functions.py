@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,12 @@ def test_best_prefix_is_best():
             return total
 
         assert value(P.best_prefix(p)) == pytest.approx(max(map(value, range(len(p) + 1))))
+
+
+def test_char_cosine(spark):
+    """Literal cases; the time grows with the length of the texts, not with its square."""
+    long = "".join(random.Random(5).choices("abcdefgh", k=20_000))
+    rows = [("abcd", "abcd", 1.0), ("abcabc", "abc", 2 / 6 ** 0.5), ("ab", "abc", 0.0), ("", "", 0.0), (None, "abc", 0.0), ("ééé", "ééé", 1.0), (long, long[::-1], None)]
+    start = time.monotonic()
+    got = [r["x"] for r in spark.createDataFrame(rows, "a string, b string, w double").coalesce(1).select(P.char_cosine(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got[:-1] == pytest.approx([w for *_, w in rows[:-1]]) and 0 < got[-1] < 1 and time.monotonic() - start < 20
