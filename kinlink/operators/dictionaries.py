@@ -183,8 +183,9 @@ def nearest_s1(s1_keys: DataFrame, r_keys: DataFrame, most: int = 300) -> DataFr
     """Of each record the entity with the largest summed idf of shared keys that at most ``most`` entities have (ties: lower s1)."""
     n = s1_keys.select("eid").distinct().count()
     df = s1_keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most)
-    left = s1_keys.join(df, "key").select("key", F.col("eid").alias("s1"), F.log(n / F.col("df")).alias("w"))
-    sums = left.join(r_keys.select("key", F.col("eid").alias("r")), "key").groupBy("r", "s1").agg(F.round(F.sum("w"), 6).alias("score"))
+    # sides are of the records' size whatever their bytes look like, so none is built in the driver for a broadcast
+    left = s1_keys.join(df.hint("merge"), "key").select("key", F.col("eid").alias("s1"), F.log(n / F.col("df")).alias("w"))
+    sums = left.hint("merge").join(r_keys.select("key", F.col("eid").alias("r")), "key").groupBy("r", "s1").agg(F.round(F.sum("w"), 6).alias("score"))
     return sums.withColumn("_k", F.row_number().over(W.partitionBy("r").orderBy(F.desc("score"), "s1"))).where("_k = 1").select("s1", "r", "score")
 
 

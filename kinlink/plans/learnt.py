@@ -139,7 +139,7 @@ query("record_keys", f"WITH {_RK} SELECT k, key FROM rk")(lambda spark, d: all_k
 query("char_ngrams", f"WITH {_F} SELECT k, array_to_string(list_transform(range(1, greatest(length(s) - 1, 1)), lambda i: substr(s, i, 3)), ' ') AS grams FROM (SELECT k, array_to_string(n, '') AS s FROM f)")(lambda spark, d: parts(spark, d).select("k", words(T.char_ngrams(F.col("j_"), 3)).alias("grams")))
 query("nearest_s1", f"""WITH {_RK}, e AS (SELECT rk.*, v FROM rk JOIN f USING (k)), s AS (SELECT key, count(*) AS df FROM e WHERE v = 0 GROUP BY key HAVING count(*) <= 300), x AS (SELECT a.k AS s1, b.k AS r, round(sum(ln((SELECT count(DISTINCT k) FROM e WHERE v = 0) / df)), 6) AS score FROM e a JOIN s USING (key) JOIN e b USING (key) WHERE a.v = 0 AND b.v > 0 GROUP BY ALL)
   SELECT s1, r, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, s1) AS k FROM x) WHERE k = 1""")(
-    lambda spark, d: (lambda k: L.nearest_s1(k.where("v = 0").select(F.col("k").alias("eid"), "key"), k.where("v > 0").select(F.col("k").alias("eid"), "key")))(all_keys(biz(spark, d))))
+    lambda spark, d: (lambda k: L.nearest_s1(k.where("v = 0").select(F.col("k").alias("eid"), "key"), k.where("v > 0").select(F.col("k").alias("eid"), "key")))(saved(all_keys(biz(spark, d)).select("k", "v", "key"))))
 query("partition_by_country", f"WITH {_KEYS} SELECT eid, part FROM parts")(lambda spark, d: R.partition_by_country(records(spark, d)).select("eid", "part"))
 _V2 = f"""{_TRIMMED}, n2 AS (SELECT 64 AS bit, s1, r, score FROM view UNION ALL SELECT 4, s1, r, round(score / 2, 6) FROM view WHERE rank_r = 0 UNION ALL SELECT 4, s1 + 2, r, 0.01 FROM view WHERE rank_s1 = 0)"""
 query("merge_views", _V2 + " SELECT s1, r, CAST(bit_or(bit) AS BIGINT) AS views, max(score) AS score FROM n2 GROUP BY s1, r")(lambda spark, d: (lambda v: R.merge_views_of({64: [v], 4: [v.where("rank_r = 0").withColumn("score", F.round(F.col("score") / 2, 6)), v.where("rank_s1 = 0").withColumn("s1", F.col("s1") + 2).withColumn("score", F.lit(0.01))]}))(saved(R.search_view(*_sides(spark, d), seed_cap=SEEDS, verify=CHECKED))))

@@ -107,3 +107,11 @@ def test_index_bootstrap_draws_all(spark):
     many = spark.range((1 << 20) + 1).select(F.col("id").alias("s1"), F.lit(0.0).alias("a"), (F.col("id") % 2).cast("double").alias("b"))
     got = D.paired_bootstrap(many, 20, poisson=False).first()
     assert got["n"] == (1 << 20) + 1 and got["delta"] == 0.5 and 0.49 < got["ci_low"] < 0.5 < got["ci_high"] < 0.51
+
+
+def test_nearest_s1_broadcasts_nothing(spark):
+    """Large sides whose statistics look small are not gathered in the driver."""
+    keys = lambda a, b: spark.range(a, b).select(F.col("id").alias("eid"), F.concat(F.lit("n:"), (F.col("id") % 50).cast("string")).alias("key"))
+    got = L.nearest_s1(keys(0, 100), keys(1000, 1060))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["s1"], r["r"]) for r in got.collect()) == [(k % 50, 1000 + k) for k in range(60)]
