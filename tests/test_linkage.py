@@ -14,6 +14,7 @@ from kinlink.functions import pairs as P
 from kinlink.operators import decide as D
 from kinlink.operators import dictionaries as L
 from kinlink.operators import edits as X
+from kinlink.operators import models as M
 
 
 def test_best_set_is_best():
@@ -115,3 +116,18 @@ def test_nearest_s1_broadcasts_nothing(spark):
     got = L.nearest_s1(keys(0, 100), keys(1000, 1060))
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["s1"], r["r"]) for r in got.collect()) == sorted((k % 50, 1000 + k) for k in range(60))
+
+
+def test_predict_train_test_scores_once(spark):
+    """Scores out of fold are computed once, however often calibration reads them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(k):
+        seen.add(1)
+        return (k * 37 % 100) / 100
+
+    rows = spark.range(300).select(F.col("id").alias("s1"), F.col("id").alias("r"), (F.col("id") % 5).cast("double").alias("line__a"), (F.col("id") % 2).cast("int").alias("y"))
+    known = rows.where("s1 % 4 > 0")
+    got = M.predict_train_test(known.withColumn("p", score("s1")), rows, M.fit_trees(known, depth=2, rounds=2, stop_share=0.0)).collect()
+    assert sorted(r["s1"] for r in got) == list(range(300)) and all(0 < r["p"] < 1 for r in got) and seen.value == 225
