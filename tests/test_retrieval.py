@@ -2,10 +2,13 @@
 
 import math
 import random
+import time
+import unicodedata
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from kinlink.functions import text as T
 from kinlink.operators import retrieval as R
 
 
@@ -60,3 +63,13 @@ def test_large_groups_of_equal_records_make_no_pairs(spark):
     view = R.search_view(keys.where("eid % 2 = 0"), keys.where("eid % 2 = 1"), keep=(3, 2), trim=(3, 2), verify=(20, 20)).cache()
     assert view.count() == 5 * n - 6
     assert {(x["r"], x["rank_s1"]) for x in view.where("s1 = 40").collect()} == {(1, 0), (3, 1), (5, 2)}
+
+
+def test_long_texts_with_accents_fold_in_time(spark):
+    text = "Père Noël, Straße 12: cafés et thés. " * 540
+    rows = spark.range(0, 4000, 1, 8).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("text"))
+    start = time.time()
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not "̀" <= c <= "ͯ")
+    folded = "".join(c if c.isascii() else " " for c in plain).lower()
+    assert rows.where(T.fold(F.col("text")) == F.concat(F.lit(folded), F.regexp_extract("text", "[0-9]*$", 0))).count() == 4000
+    assert time.time() - start < 14  # a table lookup for each letter took 1.4 microseconds of a core for each of the 80 million
