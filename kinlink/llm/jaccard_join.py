@@ -7,14 +7,15 @@
    one another can only add documents that are looked at further, and 48 bits of a set's name.
 2. The remaining sets, one per distinct set, are ordered by document frequency (exact for all tokens
    but the rare ones, which tie) and joined on the tokens of their plain prefixes.
-3. Token groups are settled in rounds.  First each set is compared with one pivot of its groups, then
-   sets of groups that are still in several components with sets of equal sketches: linear work that
-   only decides what is compared early.  What is in one component needs no more comparison.  Pairs that
-   are still open then are screened within their group by bit maps that bound the overlap, and those
-   that remain are compared, so no link is missed.
-4. Comparison: the sets to compare with a pivot are stored in a trie, most frequent token first, so
-   near copies share paths.  The traversal carries the overlap with the pivot down shared paths and
-   prunes as soon as the overlap so far and the tokens that remain cannot reach the needed overlap.
+3. First each set is compared with one pivot of its groups: linear work that settles most groups, as
+   what is in one component needs no more comparison.  In groups that are still in several components,
+   bit maps that bound the overlap say which sets may link; these join sets to clusters.  A cluster is
+   one row for each set, and no pair is a row: its task finds the pairs that share a token of both
+   prefixes, screens and compares those in different components, and joins the components of each link
+   at once, so a set that links needs few comparisons more.  No link that joins components is missed.
+4. Comparison with a pivot: the sets are stored in a trie, most frequent token first, so near copies
+   share paths.  The traversal carries the overlap with the pivot down shared paths and prunes as soon
+   as the overlap so far and the tokens that remain cannot reach the needed overlap.
 
 Every step only leaves out pairs that cannot link.  Tokens and, but for step 1, sets are told apart by
 64-bit hashes, not by their bytes.
@@ -33,18 +34,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import NARROW, WIDE, buckets, documents, dropped, small_batches, split_by_id, stored, without
+from .shared import NARROW, WIDE, buckets, documents, dropped, small_batches, stored, without
 
 WIDTH = 5
 PERCENT = 75
-ROUNDS = 2
-BANDS = 8
-#: Tasks that share the open pairs of a large group at most, and the members for which one more task joins in.
+#: Tasks that share the pairs of a large group or cluster at most, and the members for which one more task joins in.
 PARTS = 16
 PER_PART = 512
 #: Tokens in at least one of ``2**FREQUENT`` of all places are ordered by their count, so at most ``2**FREQUENT`` are.
@@ -319,39 +318,6 @@ def _pivot_pairs():
     return paired
 
 
-def _sketch_keys(number: int):
-    """Keys that sets with many common tokens are likely to have in common: triples of least hashes."""
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = K.mix(np.arange(3 * BANDS, dtype=K.U64) + K.U64(number * 1000 + 1))
-        for batch in batches:
-            out = []
-            for node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens"))):
-                t = np.frombuffer(raw, "<u8")
-                least = np.array([K.mix(t ^ s).min() for s in seeds])
-                x, y, z = least.reshape(3, BANDS)
-                keys = K.mix(x + K.mix(y + K.mix(z + np.arange(BANDS, dtype=K.U64))))
-                out += [(node, n, k) for k in keys.view(np.int64).tolist()]
-            yield _batch(out, pa.schema([("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64())]))
-    return keyed
-
-
-def _sketch_pairs(sets: DataFrame, left: DataFrame, labels: DataFrame, number: int) -> DataFrame:
-    """Of the sets in open groups: each with the least node that has a key of it, if in another component. Only an order of work: what it misses stays open."""
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = b"".join(batch.column("nodes").to_pylist())
-            yield pa.record_batch([pa.array(np.unique(np.frombuffer(raw, "<i8")))], ["node"])
-
-    nodes = stored(left.select("nodes").mapInArrow(members, "_id long").distinct(), 1 + sets.count() // NARROW)
-    own = split_by_id(sets.select(F.col("node").alias("doc_id"), "n", "tokens"), nodes)[1]  # and a few more, which does no harm
-    keys = stored(own.withColumnRenamed("doc_id", "node").mapInArrow(_sketch_keys(number), "node long, n long, key long"), 1 + nodes.count() // WIDE)
-    first = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pairs = keys.join(first, "key").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("m"), "n").where(f"a != b AND 100 * least(m, n) >= {PERCENT} * greatest(m, n)").select("a", "b").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
-    return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
-
-
 class Maps:
     """Bit maps of a group's sets: a bit of one map only is a token of one set only, which bounds the overlap."""
 
@@ -378,9 +344,16 @@ class Maps:
         return out
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _part(nodes: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Places of the pivots of one of ``parts`` tasks."""
+    own = np.arange(len(nodes) - 1)
+    return own if parts == 1 else own[(K.mix(nodes[:-1].view(K.U64)) % K.U64(parts)).astype(np.int64) == part]
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch], spanning: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs of each group that are in different components and that size and bit maps allow, one set against the rest at a time.
 
+    ``spanning``: only as many as join what all of them join, under one for each member.
     Rows are groups with a ``part``, the hash class of pivots to take, of ``parts``."""
     out: list[np.ndarray] = []
     held = 0
@@ -395,13 +368,15 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             nodes, sizes, comps = (np.frombuffer(r[c], "<i8") for c in ("nodes", "sizes", "comps"))
             maps = Maps(r["maps"], sizes)
-            own = np.arange(len(nodes) - 1)
-            if r["parts"] > 1:
-                own = own[(K.mix(nodes[:-1].view(K.U64)) % K.U64(r["parts"])).astype(np.int64) == r["part"]]
-            for p in own.tolist():
-                o = p + 1 + np.flatnonzero(_fits(sizes[p + 1 :], sizes[p]) & (comps[p + 1 :] != comps[p]))
+            joined = np.arange(len(nodes))
+            for p in _part(nodes, r["part"], r["parts"]).tolist():
+                o = p + 1 + np.flatnonzero(_fits(sizes[p + 1 :], sizes[p]) & (comps[p + 1 :] != comps[p]) & (joined[p + 1 :] != joined[p]))
                 o = o[maps.may_link(p, o)]
                 if len(o):
+                    if spanning:
+                        names, first = np.unique(joined[o], return_index=True)
+                        joined[np.isin(joined, names)] = joined[p]
+                        o = o[first]
                     out.append(np.stack([np.full(len(o), nodes[p]), nodes[o]], 1))
                     held += len(o)
             if held > 500_000:
@@ -410,6 +385,10 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flushed()
 
 
+def _spanning_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _open_pairs(batches, spanning=True)
+
+
 def _arrays(parts: list[np.ndarray]) -> pa.RecordBatch:
     x = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
     return pa.record_batch([pa.array(x[:, k].copy()) for k in range(3)], schema=_PAIRS_ARROW)
@@ -503,8 +482,6 @@ class Trie:
 
 
 
-
-
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (pivot, salt), the pivot's own row first."""
     key, pivot, names, sets = None, None, [], []
@@ -539,6 +516,83 @@ def linked_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compared, "a long, b long")
 
 
+class Cluster:
+    """Sets with their tokens, rarest first, and components; pairs that share no token of both prefixes cannot link."""
+
+    def __init__(self, nodes: list[int], comps: list[int], sets: list[np.ndarray], maps: list[bytes]):
+        self.nodes, self.comps, self.sets = np.array(nodes, np.int64), np.array(comps, np.int64), sets
+        self.sizes = np.array([len(s) for s in sets])
+        self.maps = Maps(maps, self.sizes)
+        length = self.sizes - needed(self.sizes) + 1
+        self.cut = np.append(0, np.cumsum(length)).tolist()
+        self.token = np.unique(np.concatenate([s[:n] for s, n in zip(sets, length)]), return_inverse=True)[1]
+        order = np.argsort(self.token, kind="stable")
+        self.posts = np.repeat(np.arange(len(sets)), length)[order]
+        self.first = np.searchsorted(self.token[order], np.arange(self.token.max() + 2)).tolist()
+
+    def links(self, part: int = 0, parts: int = 1, step: int = 64) -> list[tuple[int, int]]:
+        """Links of the pivots of one part, as many as join all components that links of these pivots join."""
+        out, comps, sizes, label = [], self.comps, self.sizes, np.zeros(len(self.nodes), bool)
+        for p in _part(self.nodes, part, parts).tolist():
+            label[:] = False
+            for t in self.token[self.cut[p] : self.cut[p + 1]].tolist():
+                label[self.posts[self.first[t] : self.first[t + 1]]] = True
+            label[: p + 1] = False
+            o = np.flatnonzero(label & (comps != comps[p]))
+            o = o[_fits(sizes[o], sizes[p])]
+            o = o[self.maps.may_link(p, o)]
+            table = np.sort(self.sets[p])
+            while len(o):
+                now, o = o[:step], o[step:]
+                flat = np.concatenate([self.sets[k] for k in now.tolist()])
+                same = table[np.minimum(np.searchsorted(table, flat), len(table) - 1)] == flat
+                common = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes[now]) - sizes[now])
+                for k in now[common >= overlap(sizes[p], sizes[now])].tolist():
+                    if comps[k] != comps[p]:
+                        out.append((int(self.nodes[p]), int(self.nodes[k])))
+                        comps[comps == comps[k]] = comps[p]
+                o = o[comps[o] != comps[p]]
+        return out
+
+
+def _cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (cluster, part, node)."""
+    key, rows = None, []
+
+    def found() -> pa.RecordBatch:
+        nodes, comps, raw, maps = zip(*rows)
+        return _batch(Cluster(nodes, comps, [np.frombuffer(t, "<u8") for t in raw], maps).links(*key[1:]), _CHECKED_ARROW)
+
+    for batch in batches:
+        for cluster, part, parts, *row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "part", "parts", "node", "comp", "tokens", "map"))):
+            if (cluster, part, parts) != key:
+                if rows:
+                    yield found()
+                key, rows = (cluster, part, parts), []
+            rows.append(row)
+    if rows:
+        yield found()
+
+
+def _parts(members: Column) -> Column:
+    return F.least(F.ceil(members / PER_PART), F.lit(PARTS)).cast("int")
+
+
+def clustered_links(left: DataFrame, labels: DataFrame, sets: DataFrame, files: int) -> DataFrame:
+    """Links between the components of open groups, as many as join all that links join."""
+    # groups with the same first member meet in one task; large groups are split by pivot
+    rows = _labelled(left, labels, sets).withColumn("parts", _parts(F.length("nodes") / 8)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition(F.substring("nodes", 1, 8), "part")
+    may = stored(rows.select("nodes", "sizes", "comps", "maps", "part", "parts").mapInArrow(_spanning_pairs, "a long, b long").distinct(), files)
+    if may.isEmpty():
+        return may
+    of = stored(components(may).withColumnRenamed("comp", "cluster"), files)
+    size = of.groupBy("cluster").agg(_parts(F.count(F.lit(1))).alias("parts"))
+    members = of.join(size, "cluster").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    members = members.join(sets.select("node", "tokens", "map"), "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "node")
+    return stored(members.select("cluster", "part", "parts", "node", "comp", "tokens", "map").mapInArrow(_cluster_links, "a long, b long"), files)
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark, n = docs.sparkSession, buckets(docs)
@@ -556,30 +610,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     dropped(distinct)
     groups = sets.select("node", "n", "tokens").mapInArrow(_prefixes(n), "bucket int, tokens binary, nodes binary, sizes binary").groupBy("bucket").applyInArrow(_token_groups, _GROUPS)
     groups = stored(groups.groupBy("gid").agg(F.sum("weight").alias("weight"), F.first("nodes").alias("nodes"), F.first("sizes").alias("sizes")), wide)
-    left, tried, labels = groups, None, None
-    for number in range(ROUNDS + 1):
-        if number == 0:  # each set with the pivot that shares most tokens
-            pairs = left.mapInArrow(_pivot_pairs(), "a long, b long, w long").groupBy("a", "b").agg(F.sum("w").alias("w"))
-            pairs = pairs.groupBy("b").agg(F.max(F.struct("w", F.col("a"))).alias("s")).select(F.col("s.a").alias("a"), "b")
-        elif number < ROUNDS:
-            pairs = _sketch_pairs(sets, left, labels, number)
-        else:
-            # groups with the same first member meet in one task, where their common pairs count once; large groups are split by pivot
-            parts = F.least(F.ceil(F.length("nodes") / (8 * PER_PART)), F.lit(PARTS)).cast("int")
-            rows = _labelled(left, labels, sets).withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).repartition(F.substring("nodes", 1, 8), "part")
-            pairs = rows.select("nodes", "sizes", "comps", "maps", "part", "parts").mapInArrow(_open_pairs, "a long, b long").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = stored(pairs, wide)
-        found = stored(linked_pairs(sets, pairs), 1 + pairs.count() // WIDE)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if labels is None or not found.isEmpty():
-            known = None if labels is None else labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-            labels = stored(components(found if known is None else known.unionByName(found)), narrow)
-        if number < ROUNDS:
-            left = stored(_open(left, labels), wide)
-            if left.isEmpty():
-                break
+    # each set with the pivot that shares most tokens
+    pairs = groups.mapInArrow(_pivot_pairs(), "a long, b long, w long").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    pairs = stored(pairs.groupBy("b").agg(F.max(F.struct("w", F.col("a"))).alias("s")).select(F.col("s.a").alias("a"), "b"), wide)
+    found = stored(linked_pairs(sets, pairs), 1 + pairs.count() // WIDE)
+    labels = stored(components(found), narrow)
+    left = stored(_open(groups, labels), wide)
+    if not left.isEmpty():
+        found = clustered_links(left, labels, sets, wide)
+        if not found.isEmpty():
+            labels = stored(components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))), narrow)
     dropped(sets, groups)
     first = info.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     first = stored(first, 1 + all_rows // NARROW)

@@ -119,6 +119,35 @@ def test_open_pairs_in_parts():
     assert expected and pairs(1) == pairs(4) == expected
 
 
+def _links(n, comps, pairs):
+    """Least member of what pairs and components join, for each of n nodes."""
+    label = [min(j for j in range(n) if comps[j] == comps[i]) for i in range(n)]
+    for a, b in pairs:
+        x, y = sorted((label[a], label[b]))
+        label = [x if k == y else k for k in label]
+    return label
+
+
+def test_open_groups_make_no_pair_rows():
+    """What a group and a cluster give grows with their members, not with their pairs, and joins what all pairs join."""
+    rng, n = np.random.default_rng(5), 150
+    base = rng.integers(1, 2**63, 40, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([rng.choice(base, 38, replace=False), rng.integers(1, 2**63, 2 + k % 3, dtype=np.uint64)])) for k in range(n)]
+    sizes, comps = np.array([len(s) for s in sets]), np.arange(n) % 120
+    maps = [np.packbits(np.bincount((jaccard_join.K.mix(s) >> np.uint64(51)).astype(int) % 256, minlength=256) > 0).tobytes() for s in sets]
+    common = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    linked = [(i, j) for i in range(n) for j in range(i + 1, n) if common[i][j] >= jaccard_join.overlap(sizes[i], sizes[j])]
+    want = _links(n, comps, linked)
+    assert len(linked) > 10 * n and len(set(want)) < 120
+    for parts in (1, 3):
+        columns = {"nodes": np.arange(n).tobytes(), "sizes": sizes.astype("<i8").tobytes(), "comps": comps.astype("<i8").tobytes(), "maps": maps, "parts": parts}
+        batch = pa.RecordBatch.from_pylist([columns | {"part": k} for k in range(parts)])
+        every, few = ([tuple(r.values()) for b in f([batch]) for r in b.to_pylist()] for f in (jaccard_join._open_pairs, jaccard_join._spanning_pairs))
+        assert len(few) < n * parts < len(every) and _links(n, comps, few) == _links(n, comps, every)
+        found = [x for k in range(parts) for x in jaccard_join.Cluster(range(n), comps, sets, maps).links(k, parts, step=7)]
+        assert len(found) < n * parts and set(found) <= set(linked) and _links(n, comps, found) == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)]
@@ -175,6 +204,14 @@ def test_encoder_is_exact():
         assert list(next(e([text]))) == e.tokenizer.encode(text, add_special_tokens=False).ids + [0]
 
 
+def test_encoder_shares_words_before_any_mark():
+    """A run of letters is encoded once, whatever ASCII marks follow it."""
+    encode = packing.Encoder(packing.vocabulary_path())
+    words = [w + m for w in ("oure", "Thatwhly", "ré") for m in [chr(c) for c in range(33, 127) if not chr(c).isalnum()] + ["***", ",&&&", ".$$$", "'s", "<|", "%'ll", "!x"]]
+    assert [x.tolist()[:-1] for x in encode(words)] == [encode.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert "***" in encode.runs and ",&&&" in encode.runs
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_decontamination(spark, docs, rows, empty, block_bytes):
     items = [(1, rows[20][1]), (10, "one"), (2, "two words"), (3, None), (4, "!!"), (5, rows[20][1]), (6, " ".join(rows[12][1].split()[3:15])), (None, "one")]
