@@ -119,8 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
     truth = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id"), 5) != 0)
              .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("y"))
              .orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(truth), F.col("doc_id") == F.col("_id")).select("text", "y").mapInArrow(_terms, "y int, ids binary").toPandas().sort_values(["y", "ids"])
-    y, terms = rows["y"].to_numpy(float), [np.frombuffer(x, "<u4") for x in rows["ids"]]
+    rows = docs.select("doc_id", "text").join(F.broadcast(truth), F.col("doc_id") == F.col("_id")).select("text", "y").mapInArrow(_terms, "y int, ids binary").toArrow().sort_by([("y", "ascending"), ("ids", "ascending")])
+    # views of the table's buffers, not a copy as objects
+    y, terms = rows["y"].to_numpy().astype(float), [np.frombuffer(x.as_buffer(), "<u4") for x in rows["ids"]]
     del rows
     n1 = int(y.sum())
     n0 = len(y) - n1

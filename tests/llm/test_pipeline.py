@@ -7,7 +7,7 @@ import re
 import corpus_pipeline
 import pytest
 
-from kinlink.llm import packing, toxicity
+from kinlink.llm import packing, shared, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _kept_id long, _id long, _row string, component_id long"
 
@@ -94,3 +94,17 @@ def test_stages_on_empty_tables(spark, odd, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_driver_makes_one_shared_folder(spark):
+    """Each folder that the driver makes starts a helper process that shares its memory; writers make the rest."""
+    path, files = spark._jvm.org.apache.hadoop.fs.Path, []
+    names = [shared.shared_dir(spark) for _ in range(3)]
+    for name in names:
+        where = path(name)
+        files.append(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+    assert len(set(names)) == 3 and len({n.rpartition("/")[0] for n in names}) == 1 and not any(files)
+    kept = shared.stored(spark.range(5))
+    assert kept.count() == 5 and all("/kinlink-" in f for f in kept.inputFiles())
+    shared.dropped(kept)
+    assert not path(kept.inputFiles()[0]).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(kept.inputFiles()[0]))
