@@ -39,8 +39,8 @@ REMEMBERED_RUNS = 400_000
 _BLANKS = re.compile("[\t\n\x0b\x0c\r ]+")
 #: Blank to Python, but not to the vocabulary.
 _SEPARATOR = re.compile("[\x1c-\x1f]")
-#: Letters whose lower case is one letter, then marks that no contraction of the vocabulary starts with.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Letters whose lower case is one letter, then ASCII marks that no contraction or special token of the vocabulary starts with.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
 _WORD_END = "</w>"
 
 
@@ -66,7 +66,7 @@ class Encoder:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(_WORD_END) for i in range(size)])
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # leaves out offsets
 
     def _learn_runs(self, runs: list[str]) -> None:
         for i in range(0, len(runs), 1000):
