@@ -14,6 +14,7 @@ from kinlink.functions import pairs as P
 from kinlink.operators import decide as D
 from kinlink.operators import dictionaries as L
 from kinlink.operators import edits as X
+from kinlink.operators import graph as G
 from kinlink.operators import models as M
 
 
@@ -131,3 +132,17 @@ def test_predict_train_test_scores_once(spark):
     known = rows.where("s1 % 4 > 0")
     got = M.predict_train_test(known.withColumn("p", score("s1")), rows, M.fit_trees(known, depth=2, rounds=2, stop_share=0.0)).collect()
     assert sorted(r["s1"] for r in got) == list(range(300)) and all(0 < r["p"] < 1 for r in got) and seen.value == 225
+
+
+def test_equal_keys_make_no_pair_rows(spark):
+    """Counts equal those of the pairs, also of repeated ids and nulls; 60,000 copies a side would be 3.6e9 pairs."""
+    rows = [(k, f"t{k % 5}") for k in range(40)] + [(2, "t1"), (2, "t2"), (7, "t1"), (7, "t2"), (50, None), (51, None), (52, "alone"), (3, "t3")]
+    t = spark.createDataFrame(rows, "eid long, key string")
+    e, r = t.where("eid % 2 = 0"), t.where("eid % 2 = 1")
+    pred = spark.createDataFrame([(2, 7), (2, 7), (2, 1), (10, 15), (10, 16), (50, 51), (99, 1)], "s1 long, r long")
+    pairs = e.select(F.col("eid").alias("s1"), "key").join(r.select(F.col("eid").alias("r"), "key"), "key").select("s1", "r")
+    want, got = G.per_entity_f05(e.select(F.col("eid").alias("s1")), pairs, pred), G.equal_key_f05(e, r, pred)
+    assert got.schema.simpleString() == want.schema.simpleString() and sorted(got.collect()) == sorted(want.collect())
+    many = spark.range(120_000).select(F.col("id").alias("eid"), F.lit("copy").alias("key"))
+    got = G.equal_key_f05(many.where("eid % 2 = 0"), many.where("eid % 2 = 1"), pred).agg(F.sum("n_true"), F.sum("n_hit")).first()
+    assert tuple(got) == (60_000 * 60_000, 4)
