@@ -24,7 +24,7 @@ def name_short_view(s1_names: DataFrame, r_names: DataFrame, sizes: DataFrame, m
     """Names only, for records whose address has at most ``most_words`` words or whose name is one word of ``long_name`` letters (sizes: eid, n_address, n_name, longest)."""
     few = F.col("n_address") <= most_words
     few = few | ((F.col("n_name") == 1) & (F.col("longest") >= long_name)) if long_name else few
-    return R.search_view(s1_names, r_names.join(sizes.where(few).select("eid"), "eid", "left_semi").select("part", "eid", "key"), **{**SHORT, **search})
+    return R.search_view(s1_names, r_names.join(sizes.where(few).select("eid"), "eid", "left_semi").select(*r_names.columns), **{**SHORT, **search})
 
 
 def block_stage(s1_keys: DataFrame, r_keys: DataFrame, s1_names: DataFrame, r_names: DataFrame, sizes: DataFrame, **search) -> DataFrame:

@@ -118,10 +118,18 @@ query("compound_keys", f"WITH {_F} {_COMPOUND}")(lambda spark, d: parts(spark, d
 query("name_word_keys", f"WITH {_F} SELECT DISTINCT * FROM ({_NW})")(lambda spark, d: parts(spark, d).select("k", F.explode(F.array_distinct(L.name_word_keys(F.col("n_"), F.col("a_"), 3, sorted(set(T.STREET.values()))))).alias("key")))
 
 
-def all_keys(b):
-    own = b.select("*", name_parts().alias("n_"), address_parts().alias("a_"), number_parts().alias("d_"))
+def with_parts(b):
+    return b.select("*", name_parts().alias("n_"), address_parts().alias("a_"), number_parts().alias("d_"))
+
+
+def keys_of():
+    """The distinct keys of a record of ``with_parts``."""
     skeletons = F.transform(F.filter("n_", lambda t: F.length(t) >= 3), T.skeleton)
-    return own.select("k", "g", "v", "country", F.explode(L.record_keys(F.col("n_"), F.col("a_"), F.col("d_"), T.name_concat(F.col("n_")), skeletons)).alias("key"))
+    return L.record_keys(F.col("n_"), F.col("a_"), F.col("d_"), T.name_concat(F.col("n_")), skeletons)
+
+
+def all_keys(b):
+    return with_parts(b).select("k", "g", "v", "country", F.explode(keys_of()).alias("key"))
 
 
 def _skeleton(t: str) -> str:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import addresses as A
-from ..functions import text as T
 from ..operators import stages as S
 from ..operators.tables import saved, spread
 from . import businesses as Z
 from .catalogue import GRID, _EDGES, _MATCHES, edges, matches, truth, universe
 from .decisions import scores
 from .edits import country, decided, scored, texts
-from .learnt import all_keys
+from .learnt import keys_of, with_parts
 from .registry import query
 
 
@@ -43,11 +42,11 @@ query("baseline_pair_features")(lambda spark, d: S.baseline_pair_features(texts(
 
 
 def blocked(spark, d):
-    b = spread(Z.biz(spark, d))
-    k = saved(all_keys(b).select(F.lit("all").alias("part"), "v", F.col("k").alias("eid"), "key"))
-    names = k.where("key LIKE 'n:%'")
-    sizes = saved(b.select(F.col("k").alias("eid"), (F.size(T.address_words(F.col("address"))) + F.size(T.address_numbers(F.col("address")))).alias("n_address"), F.size(T.name_tokens(F.col("name"))).alias("n_name"), F.lit(0).alias("longest")))
-    pick = lambda t, w: t.where(w).select("part", "eid", "key")
+    parts = with_parts(spread(Z.biz(spark, d)))
+    k = saved(parts.select(F.lit("all").alias("part"), "v", F.col("k").alias("eid"), keys_of().alias("keys"), (F.size("a_") + F.size("d_")).alias("n_address"), F.size("n_").alias("n_name")))
+    names = k.withColumn("keys", F.filter("keys", lambda x: x.startswith("n:")))
+    sizes = k.select("eid", "n_address", "n_name", F.lit(0).alias("longest"))
+    pick = lambda t, w: t.where(w).select("part", "eid", "keys")
     return pick(k, "v = 0"), pick(k, "v > 0"), pick(names, "v = 0"), pick(names, "v > 0"), sizes
 
 

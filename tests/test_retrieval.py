@@ -56,6 +56,17 @@ def test_search_in_blocks_equals_brute_force(spark, monkeypatch):
         assert got == brute(s1, r, (4, 3), (7, 5), (4, 3), 1)
 
 
+def test_keys_in_arrays_equal_keys_in_rows_and_come_in_chunks(spark, monkeypatch):
+    """Arrays may repeat a key, and several rows of a record are one; a record of both sides has the keys of each."""
+    monkeypatch.setattr(R, "CHUNK", 20)
+    rng = random.Random(5)
+    side = lambda first: [(("x", "y")[e % 3 == 0], e, [f"k{int(rng.paretovariate(0.7)) % 25}" for _ in range(rng.randrange(8))]) for e in [*range(first, first + 80, 2), first, 2]]
+    arrays = side(0), side(1)
+    got = R.best_overlaps(*(spark.createDataFrame(t, "part string, eid long, keys array<string>") for t in arrays), (4, 3), (7, 5), (4, 3), 1)
+    rows = [[(p, e, k) for p, e, ks in t for k in ks] for t in arrays]
+    assert {tuple(x) for x in got.collect()} == brute(*rows, (4, 3), (7, 5), (4, 3), 1)
+
+
 def test_large_groups_of_equal_records_make_no_pairs(spark):
     n = 30_000
     ids = spark.range(2 * n).withColumn("key", F.explode(F.array(F.lit("golden"), F.lit("traders"))))
